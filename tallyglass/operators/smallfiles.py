@@ -94,7 +94,7 @@ def record_fingerprint(line: bytes) -> bytes:
 
 
 def _split_members(inner: bytes) -> list[bytes]:
-    parts, depth, begin, at = [], 0, 0, 0
+    parts, depth, begin = [], 0, 0
     for match in re.finditer(rb'"(?:[^"\\]|\\.)*"|[{}\[\],]', inner):
         token = match.group()
         if token in (b"{", b"["):
@@ -104,8 +104,6 @@ def _split_members(inner: bytes) -> list[bytes]:
         elif token == b"," and depth == 0:
             parts.append(inner[begin : match.start()])
             begin = match.end()
-        at = match.end()
-    del at
     return [*parts, inner[begin:]]
 
 
