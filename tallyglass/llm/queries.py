@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.functions.names import plain_digest
-from tallyglass.llm import sample, splits
+from tallyglass.llm import history, sample, splits
+from tallyglass.shared import cut, new_folder
 from tallyglass.sources.tables import table
 
 SAMPLE_RATE = 0.1
@@ -32,7 +33,14 @@ def p5_shares(spark, folder):
     return dealt.groupBy("side").agg(F.count("*").alias("n_rows"), F.count_distinct("family").alias("n_families"))
 
 
-QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_split_assignment": p5_split_assignment, "p5_shares": p5_shares}
+def p6_found(spark, folder):
+    rows = cut(history.clean_rows(table(spark, folder, "manifest"), table(spark, folder, "images")), "clean")
+    index = history.HistoryIndex(spark, new_folder(spark, "history"))
+    index.append(rows.filter("batch = 0"))
+    return index.duplicates(rows.filter("batch > 0"))
+
+
+QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_split_assignment": p5_split_assignment, "p5_shares": p5_shares, "p6_found": p6_found}
 
 _DIGEST = r"regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '^sha256:', '')"
 _PLAIN = r"lower(regexp_extract(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '[^/\\]*$'))"
@@ -57,4 +65,13 @@ WITH RECURSIVE rows_ AS (
      total AS (SELECT coalesce('o:' || label, 'n:' || rows_.name) AS family, min(row_id) AS family_row_id, count(DISTINCT side) AS sides
                FROM rows_ LEFT JOIN family USING (name) GROUP BY 1)
 SELECT family_row_id FROM total WHERE sides > 1""",
+    "p6_found": f"""
+WITH clean AS (SELECT row_id, batch_no, {_DIGEST.format("m.sha256")} AS digest FROM manifest m WHERE arm IS NULL AND source_png IS NULL),
+     printed AS (SELECT c.*, i.dhash, i.phash FROM clean c LEFT JOIN images i ON i.sha256 = c.digest),
+     same AS (SELECT a.row_id AS x, b.row_id AS y FROM clean a JOIN clean b ON a.digest = b.digest AND a.row_id < b.row_id
+              WHERE greatest(a.batch_no, b.batch_no) > 0),
+     near AS (SELECT least(a.row_id, b.row_id) AS x, greatest(a.row_id, b.row_id) AS y FROM printed a JOIN printed b
+              ON a.row_id < b.row_id AND greatest(a.batch_no, b.batch_no) > 0
+              AND bit_count(xor(a.dhash, b.dhash)) <= 6 AND bit_count(xor(a.phash, b.phash)) <= 6)
+SELECT x AS row_id_a, y AS row_id_b FROM same UNION SELECT x, y FROM near""",
 }
