@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.functions.names import plain_digest
-from tallyglass.llm import history, sample, splits
+from tallyglass.llm import history, leakage, sample, splits
 from tallyglass.shared import cut, new_folder
 from tallyglass.sources.tables import table
 
@@ -40,7 +40,20 @@ def p6_found(spark, folder):
     return index.duplicates(rows.filter("batch > 0"))
 
 
-QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_split_assignment": p5_split_assignment, "p5_shares": p5_shares, "p6_found": p6_found}
+def _leaks(spark, folder):
+    items = [(r.item_id, r.text) for r in table(spark, folder, "benchmark").select("item_id", "text").collect()]  # fixed test items
+    return leakage.leaks(table(spark, folder, "documents"), "doc_id", "text", items)
+
+
+def p7_found(spark, folder):
+    return _leaks(spark, folder).select("doc_id", "item_id").distinct()
+
+
+def p7_leaks(spark, folder):
+    return _leaks(spark, folder).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max("similarity").alias("similarity"))
+
+
+QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_split_assignment": p5_split_assignment, "p5_shares": p5_shares, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks}
 
 _DIGEST = r"regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '^sha256:', '')"
 _PLAIN = r"lower(regexp_extract(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '[^/\\]*$'))"
