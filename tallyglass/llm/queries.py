@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.functions.names import plain_digest
-from tallyglass.llm import history, leakage, sample, splits
+from tallyglass.llm import history, leakage, mixing, sample, splits
 from tallyglass.shared import cut, new_folder
 from tallyglass.sources.tables import table
 
@@ -53,7 +53,25 @@ def p7_leaks(spark, folder):
     return _leaks(spark, folder).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max("similarity").alias("similarity"))
 
 
-QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_split_assignment": p5_split_assignment, "p5_shares": p5_shares, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks}
+MIX_SEED = "mix-v1"
+
+
+def _mix(spark, folder):
+    targets = table(spark, folder, "mix_targets")
+    wanted = {r.source: (r.target_share, r.max_repeats) for r in targets.select(mixing.plain_source("source").alias("source"), "target_share", "max_repeats").collect()}  # the request
+    sizes = cut(mixing.token_sizes(table(spark, folder, "documents"), "doc_id", "text", mixing.plain_source("source")), "sizes")
+    return mixing.mix(sizes, wanted, MIX_SEED), targets
+
+
+def p8_mix(spark, folder):
+    return _mix(spark, folder)[0]
+
+
+def p8_shares(spark, folder):
+    return mixing.shares(*_mix(spark, folder))
+
+
+QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_split_assignment": p5_split_assignment, "p5_shares": p5_shares, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares}
 
 _DIGEST = r"regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '^sha256:', '')"
 _PLAIN = r"lower(regexp_extract(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '[^/\\]*$'))"
