@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.functions.names import plain_digest
-from tallyglass.llm import history, leakage, mixing, sample, splits
+from tallyglass.llm import abuse, history, leakage, mixing, sample, splits
 from tallyglass.shared import cut, new_folder
 from tallyglass.sources.tables import table
 
@@ -71,7 +71,25 @@ def p8_shares(spark, folder):
     return mixing.shares(*_mix(spark, folder))
 
 
-QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_split_assignment": p5_split_assignment, "p5_shares": p5_shares, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares}
+def _scored(spark, folder):
+    documents = table(spark, folder, "documents")
+    model = abuse.train(documents, table(spark, folder, "moderation_labels"))
+    return abuse.score(documents.withColumn("source", mixing.plain_source("source")), model, "source")
+
+
+def p9_found(spark, folder):
+    return _scored(spark, folder).filter(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p9_scores(spark, folder):
+    return _scored(spark, folder)
+
+
+def p9_rates(spark, folder):
+    return abuse.rates(_scored(spark, folder))
+
+
+QUERIES = {"p4_sample": p4_sample, "p5_found": p5_found, "p5_split_assignment": p5_split_assignment, "p5_shares": p5_shares, "p6_found": p6_found, "p7_found": p7_found, "p7_leaks": p7_leaks, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
 
 _DIGEST = r"regexp_replace(lower(regexp_replace({0}, '^\s+|\s+$', '', 'g')), '^sha256:', '')"
 _PLAIN = r"lower(regexp_extract(regexp_replace({0}, '^\s+|\s+$', '', 'g'), '[^/\\]*$'))"
