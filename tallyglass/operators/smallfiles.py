@@ -241,14 +241,10 @@ def concatenate(files: DataFrame, path: str, body: str, target_bytes: int = TARG
     mark = F.hex(F.substring(F.col("b"), 1, 3)) == F.lit(BOM.hex().upper())
     size = F.octet_length("b").cast("long")
     sized = raw.select("path", "b", packed.alias("packed"), (size - F.when(mark & ~packed, 3).otherwise(0) + F.when(packed | (F.hex(F.substring(F.col("b"), -1, 1)) == "0A"), 0).otherwise(1)).alias("n"))
-    # a running total over path ranges: totals per range are few, rows never meet in one task
-    ranged = sized.repartitionByRange("path").withColumn("_p", F.spark_partition_id())
-    spans = ranged.groupBy("packed", "_p").agg(F.sum("n").alias("s"))
-    from pyspark.sql import Window as W
-
-    starts = spans.withColumn("base", F.coalesce(F.sum("s").over(W.partitionBy("packed").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("s")
-    at = F.sum("n").over(W.partitionBy("packed", "_p").orderBy("path").rowsBetween(W.unboundedPreceding, -1))
-    placed = ranged.join(starts, ["packed", "_p"]).withColumn("block", ((F.col("base") + F.coalesce(at, F.lit(0))) / target_bytes).cast("long"))
+    from tallyglass.shared import running_totals
+
+    kind = sized.withColumn("order", F.struct("path", F.xxhash64("b")))
+    placed = running_totals(kind, ["packed"], "order", {"upto": "n"}).withColumn("block", ((F.col("upto") - F.col("n")) / target_bytes).cast("long"))
 
     def join(batches):
         for (packed_, block), rows in _by_block(batches):

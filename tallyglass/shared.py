@@ -98,3 +98,28 @@ def rank_by_hash(rows: DataFrame, group: list[str], hash_col: str, ties: list[st
     on = [F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)] + [F.col("_bin") == F.col("_b")]
     joined = inside.join(starts, on)
     return joined.withColumn(out, F.col("_start") + F.col("_pos") - 1).drop("_bin", "_b", "_pos", "_start", *[f"_g{i}" for i in range(len(group))])
+
+
+def running_totals(rows: DataFrame, group: list[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds, per group, the total of a column over all rows ordered before and including this one.
+
+    ``sums`` maps a new column to the summed one. ``order`` must be unique within a group. The rows are range-partitioned by
+    ``(group, order)`` into a table, so that a group with very many rows spreads over tasks: ranges are totalled, the few
+    totals are accumulated, and each range adds its own start.
+    """
+    from pyspark.sql import Window as W
+
+    # the ranges are sampled, so the table fixes them
+    ranged = cut(rows.repartitionByRange(*group, order).withColumn("_p", F.spark_partition_id()), "ranges")
+    totals = ranged.groupBy(*group, "_p").agg(*[F.sum(c).alias(f"_t{i}") for i, c in enumerate(sums.values())])
+    span = (F.col("_p").desc() if descending else F.col("_p").asc())
+    before = W.partitionBy(*[F.lit(0), *group]).orderBy(span).rowsBetween(W.unboundedPreceding, -1)
+    starts = totals.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_p").alias("_q"),
+        *[F.coalesce(F.sum(f"_t{i}").over(before), F.lit(0)).alias(f"_s{i}") for i in range(len(sums))],
+    )
+    within = W.partitionBy(*group, "_p").orderBy(F.col(order).desc() if descending else F.col(order).asc()).rowsBetween(W.unboundedPreceding, 0)
+    inside = ranged.select("*", *[F.sum(c).over(within).alias(f"_i{i}") for i, c in enumerate(sums.values())])
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_p") == F.col("_q")]
+    joined = inside.join(starts, on)
+    return joined.select(*rows.columns, *[(F.col(f"_s{i}") + F.col(f"_i{i}")).alias(new) for i, new in enumerate(sums)])
