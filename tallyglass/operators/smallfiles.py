@@ -47,7 +47,13 @@ def complete_records(body: bytes | None) -> list[bytes]:
     out: list[bytes] = []
     stack: list[bytes] = []
     start, last, at = -1, b"", 0
-    while match := _TOKEN.search(body, at):
+    while (match := _TOKEN.search(body, at)) or start >= 0:
+        if match is None:  # what is open never ends; a record may begin again on a line of its own
+            line = body.find(b"\n{", start)
+            if line < 0:
+                break
+            stack, start, last, at = [], -1, b"", line + 1
+            continue
         token, at = match.group(), match.end()
         kind = token if len(token) == 1 else b""
         if kind == b'"':  # a string that never ends: what was open is cut off
