@@ -151,10 +151,11 @@ def _bellman_ford(source, graph, cap, cost, ends) -> dict:
 def solve_quotas(bundles: list[dict], shares: dict[str, float]) -> dict[tuple, dict[str, int]]:
     """Families of each bundle per side, keyed by ``(size_class, level)``.
 
-    ``bundles`` have ``size_class, level, families, rows``. A bundle first gives each side the whole part of its share; the
-    families left over (fewer than there are sides) are placed by one min-cost flow per size class, from the largest
-    down: an arc costs what it strays from the bundle's own quota, and each further family on a side costs what it adds to
-    the deviation of the side's rows from its target, so early roundings are made good by later, smaller families.
+    ``bundles`` have ``size_class, level, families, rows``. From the largest families down, a bundle first gives each side
+    the whole part of its share of what the sides still need, so that what large families cost a side is made good by
+    all smaller ones alike; the families left over (fewer than there are sides) are placed by one min-cost flow per size
+    class: an arc costs what it strays from the bundle's own quota, and each further family on a side costs what it adds
+    to the deviation of the side's rows from its target.
     """
     total = sum(shares.values())
     share = {s: v / total for s, v in shares.items()}
@@ -163,19 +164,22 @@ def solve_quotas(bundles: list[dict], shares: dict[str, float]) -> dict[tuple, d
     by_size: dict = defaultdict(list)
     for b in bundles:
         by_size[b["size_class"]].append(b)
-    done_rows = 0.0
+    all_rows = sum(b["rows"] for b in bundles)
     for size in sorted(by_size, reverse=True):
         group = by_size[size]
         mean = sum(b["rows"] for b in group) / sum(b["families"] for b in group)
         supply, arcs = {}, []
+        need = {s: max(0.0, all_rows * p - have[s]) for s, p in share.items()}
+        weight = {s: n / sum(need.values()) for s, n in need.items()}
+        group_rows = sum(b["rows"] for b in group)
+        goal = {s: have[s] + group_rows * weight[s] for s in share}
         for b in group:
             key = (size, b["level"])
-            exact = {s: b["families"] * p for s, p in share.items()}
+            exact = {s: b["families"] * w for s, w in weight.items()}
             out[key] = {s: int(x + 1e-9) for s, x in exact.items()}
             rest = b["families"] - sum(out[key].values())
             for s in share:
                 have[s] += out[key][s] * b["rows"] / b["families"]
-            done_rows += b["rows"]
             if rest:
                 supply[key] = rest
                 for s in share:
@@ -184,7 +188,7 @@ def solve_quotas(bundles: list[dict], shares: dict[str, float]) -> dict[tuple, d
                         arcs.append((key, s, 1, (unit + 1 - part) ** 2 - (unit - part) ** 2))
         units = sum(supply.values())
         if units:
-            due = {s: (done_rows * share[s] - have[s]) / mean for s in share}
+            due = {s: (goal[s] - have[s]) / mean for s in share}
             for s in share:
                 for unit in range(units):  # squared deviation of the side's rows, weighted above single bundles
                     arcs.append((s, "sink", 1, 4 * ((unit + 1 - due[s]) ** 2 - (unit - due[s]) ** 2)))
