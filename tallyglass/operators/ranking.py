@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyglass.shared import running_totals
+from tallyglass.shared import cut, running_totals
 
 #: Fixed value: the two-sided 95 % normal quantile.
 Z_95 = 1.959963984540054
@@ -30,6 +30,7 @@ def histogram(scored: DataFrame, group: list[str], score: str = "score", label:
 
 def cumulated(hist: DataFrame, group: list[str]) -> DataFrame:
     """The histogram with ``pos_upto, neg_upto`` (at or below the score) and the group totals ``n_pos, n_neg``, ``has_nan``."""
+    hist = cut(hist, "histogram")  # read three times
     upto = running_totals(hist, group, "score", {"pos_upto": "pos", "neg_upto": "neg"})
     keys = group or [F.lit(0).alias("_all")]
     total = hist.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.max(F.isnan("score")).alias("has_nan"))
@@ -129,18 +130,20 @@ def findings(scored: DataFrame, group: list[str], score: str = "score", label: s
     )
 
 
-def shared_negatives(scored: DataFrame, arm: str = "arm", label: str = "label") -> DataFrame:
-    """Rows for a per-arm analysis: each arm's positives against all negatives.
+def shared_negatives(scored: DataFrame, by: list[str], arm: str = "arm", label: str = "label") -> DataFrame:
+    """Rows for a per-arm analysis: each arm's positives against all negatives, per ``by``.
 
-    Negatives are repeated per arm after they were counted: the result is a histogram ``arm, score, pos, neg``, so what is
-    replicated are distinct scores, not rows. The other functions here take it in place of rows.
+    Negatives are repeated per arm after they were counted: the result is a histogram ``by, arm, score, pos, neg``, so what is
+    replicated are distinct scores, not rows. The other functions here take it in place of rows. Positives without an arm
+    are left out.
     """
-    hist = histogram(scored, [arm])
-    arms = hist.filter((F.col("pos") > 0) & F.col(arm).isNotNull()).select(arm).distinct()
-    clean = histogram(scored.filter(~F.col(label)), []).select("score", "neg")
-    negatives = arms.crossJoin(clean).select(arm, "score", F.lit(0).cast("long").alias("pos"), "neg")  # arms x distinct scores
-    positives = hist.filter(F.col(arm).isNotNull()).select(arm, "score", "pos", F.lit(0).cast("long").alias("neg"))
-    return positives.unionByName(negatives).groupBy(arm, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    hist = cut(histogram(scored, [*by, arm], label=label), "histogram")
+    clean = hist.groupBy(*by, "score").agg(F.sum("neg").alias("neg")).filter("neg > 0")
+    arms = hist.filter((F.col("pos") > 0) & F.col(arm).isNotNull()).groupBy(*by).agg(F.collect_set(arm).alias("_arms"))  # names of arms
+    every = clean.join(arms, by) if by else clean.crossJoin(F.broadcast(arms))  # one row
+    negatives = every.select(*by, F.explode("_arms").alias(arm), "score", F.lit(0).cast("long").alias("pos"), "neg")
+    positives = hist.filter(F.col(arm).isNotNull() & (F.col("pos") > 0)).select(*by, arm, "score", "pos", F.lit(0).cast("long").alias("neg"))
+    return positives.unionByName(negatives).groupBy(*by, arm, "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
 def metrics_maps(points: DataFrame, group: list[str]) -> DataFrame:

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.names import plain_digest, plain_name, plain_side
 from tallyglass.operators.compaction import most_complete
-from tallyglass.shared import join_facts
 from tallyglass.sources.tables import table
 
 DETECTORS = ["aletheia_spa", "aletheia_rs", "stegexpose"]
@@ -35,7 +34,8 @@ def panel(spark, folder) -> DataFrame:
 
 def scored(spark, folder) -> DataFrame:
     """Scores in wide form with what the manifest says of each image."""
-    return join_facts(panel(spark, folder).select("name", "panel_id", *PANEL_FIELDS, "aletheia_error"), listed(spark, folder), "name", "inner")
+    # names are unique on both sides: no key is hot
+    return panel(spark, folder).select("name", "panel_id", *PANEL_FIELDS, "aletheia_error").join(listed(spark, folder), "name")
 
 
 def long_scores(spark, folder) -> DataFrame:

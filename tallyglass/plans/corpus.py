@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyglass.functions.names import plain_name
 from tallyglass.operators import assign, compaction, pairing
 from tallyglass.plans.base import LISTED_SQL, PANEL_FIELDS, PLAIN, listed
+from tallyglass.shared import cut
 from tallyglass.sources.tables import table
 
 SALT = "strand-v1"
@@ -87,21 +88,21 @@ def share_quota(spark, folder):
 
 
 def split_side_inherited(spark, folder):
-    return pairing.inherited_side(pairing.with_cover(listed(spark, folder))).groupBy("selected_side").agg(F.count("*").alias("n"), F.count_if(F.col("cover_side").isNull()).alias("own"))
+    return pairing.inherited_side(pairing.with_cover(cut(listed(spark, folder), "listed"))).groupBy("selected_side").agg(F.count("*").alias("n"), F.count_if(F.col("cover_side").isNull()).alias("own"))
 
 
 def split_leaks(spark, folder):
-    return pairing.leaks(pairing.with_cover(listed(spark, folder))).select("name", "cover", "side", "cover_side")
+    return pairing.leaks(pairing.with_cover(cut(listed(spark, folder), "listed"))).select("name", "cover", "side", "cover_side")
 
 
 def violations(spark, folder):
-    pairs = pairing.with_cover(listed(spark, folder))
+    pairs = pairing.with_cover(cut(listed(spark, folder), "listed"))
     kind = F.when(F.col("cover_row").isNull(), "no-cover").when(F.col("side") != F.col("cover_side"), "split-leak").when(F.col("width") != F.col("cover_width"), "size")
     return pairs.withColumn("violation", kind).filter("violation is not null").groupBy("violation").agg(F.count("*").alias("n"), F.array_join(pairing.examples("name"), ",").alias("examples"))
 
 
 def pairing_verdict(spark, folder):
-    rows = listed(spark, folder)
+    rows = cut(listed(spark, folder), "listed")
     halves = rows.filter("not stego").groupBy("digest").agg(F.min_by("width", "row_id").alias("half_width"), F.min_by("height", "row_id").alias("half_height"))
     return pairing.pairing_verdict(pairing.pair_check(pairing.with_cover(rows), halves), ["arm"])
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.operators import confusion, ranking
-from tallyglass.plans.base import DETECTORS, LONG_SQL, SCORED_SQL, long_scores, scored
+from tallyglass.plans.base import LONG_SQL, SCORED_SQL, long_scores, scored
+from tallyglass.shared import cut
+from tallyglass.sources.tables import table
 
 BUDGETS = [0.01, 0.05, 0.1]
 
@@ -51,21 +53,17 @@ def fpr_resolution(spark, folder):
 
 
 def score_findings(spark, folder):
-    return _r(ranking.findings(long_scores(spark, folder), ["detector"]), auc=9, inverted=9)
+    return _r(ranking.findings(cut(long_scores(spark, folder), "long"), ["detector"]), auc=9, inverted=9)
 
 
 def per_arm_auc_shared_clean(spark, folder):
-    hist = None
-    for d in DETECTORS:
-        rows = scored(spark, folder).select("arm", F.col("stego").alias("label"), F.col(d).alias("score"))
-        one = ranking.shared_negatives(rows).withColumn("detector", F.lit(d))
-        hist = one if hist is None else hist.unionByName(one)
+    hist = ranking.shared_negatives(long_scores(spark, folder), ["detector"])
     return _r(ranking.auc(hist, ["detector", "arm"]), auc=9, se=9, low=9, high=9)
 
 
 def per_arm_auc_own_covers(spark, folder):
     """Each arm against the clean rows of its own covers only, every cover once per arm."""
-    rows = long_scores(spark, folder).filter("score is not null")
+    rows = cut(long_scores(spark, folder).filter("score is not null"), "long")
     stego = rows.filter("label and arm is not null")
     clean = rows.filter("not label").select("cover", "detector", "score")
     wanted = stego.select("arm", "cover", "detector").distinct()
@@ -76,7 +74,7 @@ def per_arm_auc_own_covers(spark, folder):
 
 def paired_covers(spark, folder):
     """Covers that both an arm's image and the clean image of this detector were scored for."""
-    rows = long_scores(spark, folder).filter("score is not null")
+    rows = cut(long_scores(spark, folder).filter("score is not null"), "long")
     clean = rows.filter("not label").select("cover", "detector", F.col("score").alias("clean_score"))
     pairs = rows.filter("label and arm is not null").join(clean, ["cover", "detector"])
     return pairs.groupBy("detector", "arm").agg(
@@ -116,9 +114,17 @@ def error_rows(spark, folder):
     return scored(spark, folder).groupBy("aletheia_error").agg(F.count("*").alias("n"), F.count("aletheia_spa").alias("n_scored"))
 
 
+def order_priority_auc(spark, folder):
+    """At the size of the largest arm: returned lines against all others by quantity, per priority of their order, negatives shared."""
+    lines = table(spark, folder, "lineitem").select(F.col("l_orderkey").alias("key"), F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").alias("label"))
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"))
+    rows = lines.join(orders, "key").withColumn("arm", F.when(F.col("label"), F.col("priority")))
+    return _r(ranking.auc(ranking.shared_negatives(rows, []), ["arm"]), auc=9, se=9, low=9, high=9)
+
+
 QUERIES = {f.__name__: f for f in (
     confusion_rates, midrank_table, auc_ties, auc_delong_ci, roc_points, operating_points, tpr_at_fpr_budgets, fpr_resolution, score_findings, per_arm_auc_shared_clean,
-    per_arm_auc_own_covers, paired_covers, hit_rates, position_join_coalesce, metrics_refusal_status, error_rows,
+    per_arm_auc_own_covers, paired_covers, hit_rates, position_join_coalesce, metrics_refusal_status, error_rows, order_priority_auc,
 )}
 
 _RATES = """round(CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END, 9) AS tpr, round(CASE WHEN fp + tn = 0 THEN 0.0 ELSE fp / (fp + tn) END, 9) AS fpr,
@@ -191,5 +197,8 @@ c AS (SELECT request, scores, CASE WHEN request % 3 = 0 THEN labels[1:len(scores
              CASE WHEN request % 7 = 0 THEN 'duplicate-budget' WHEN request % 5 = 0 THEN 'budget-not-a-rate' ELSE 'ok' END AS last FROM p)
 SELECT request, CASE WHEN len(scores) <> len(labels) THEN 'length-mismatch' WHEN len(scores) = 0 THEN 'empty' WHEN len(list_filter(scores, lambda x: x IS NULL)) > 0 THEN 'not-a-number'
   WHEN len(list_distinct(labels)) = 1 THEN 'one-sided' ELSE last END AS status FROM c""",
+    "order_priority_auc": _auc_sql("lines", "arm", """WITH l AS (SELECT l_quantity AS score, l_returnflag = 'R' AS label, o_orderpriority AS priority FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+lines AS (SELECT priority AS arm, score, label FROM l WHERE label UNION ALL SELECT a.priority, l.score, l.label FROM (SELECT DISTINCT priority FROM l WHERE label) a, l WHERE NOT l.label)""")
+    + f"SELECT arm, n_pos, n_neg, {_INTERVAL} FROM areas",
     "error_rows": f"WITH {SCORED_SQL} SELECT aletheia_error, count(*) AS n, count(aletheia_spa) AS n_scored FROM scored GROUP BY 1",
 }

@@ -8,7 +8,7 @@ from tallyglass.functions import text as T
 from tallyglass.functions.names import plain_name
 from tallyglass.operators import integrity, pairing, prints
 from tallyglass.plans.base import LISTED_SQL, PLAIN, listed
-from tallyglass.shared import join_facts
+from tallyglass.shared import cut, join_facts
 from tallyglass.sources.tables import table
 
 RADIUS = 6
@@ -56,14 +56,14 @@ def texture_gate(spark, folder):
 
 
 def digest_drift(spark, folder):
-    rows = listed(spark, folder)
+    rows = cut(listed(spark, folder), "listed")
     recorded = rows.filter("stego and clean_digest is not null").select(F.col("name").alias("stego_name"), "cover", "clean_digest")
     actual = rows.filter("not stego").select(F.col("name").alias("cover"), F.col("digest").alias("actual"))
     return join_facts(recorded, actual, "cover", "inner").filter("clean_digest <> actual").select("stego_name", "clean_digest", "actual")
 
 
 def provenance(spark, folder):
-    rows = listed(spark, folder)
+    rows = cut(listed(spark, folder), "listed")
     actual = rows.filter("not stego").select(F.col("name").alias("cover"), F.col("digest").alias("actual"))
     joined = join_facts(rows.filter("stego"), actual, "cover", "left")
     return joined.groupBy("arm").agg(
@@ -78,7 +78,7 @@ def two_way_integrity(spark, folder):
 
 
 def unknown_sources(spark, folder):
-    rows = listed(spark, folder)
+    rows = cut(listed(spark, folder), "listed")
     return rows.filter("stego").join(rows.filter("not stego").select(F.col("name").alias("cover")), "cover", "left_anti").groupBy("cover").agg(F.count("*").alias("n"))
 
 
@@ -117,7 +117,7 @@ def attribution_share(spark, folder):
 
 def licence_cross_check(spark, folder):
     """Stego rows whose recorded licence differs from their cover's, by pair of canonical names."""
-    pairs = listed(spark, folder)
+    pairs = cut(listed(spark, folder), "listed")
     covers = pairs.filter("not stego").select(F.col("name").alias("cover"), T.canonical_licence("licence").alias("cover_licence"))
     joined = join_facts(pairs.filter("stego"), covers, "cover", "inner").withColumn("licence", T.canonical_licence("licence"))
     return joined.filter(~F.col("licence").eqNullSafe(F.col("cover_licence"))).groupBy("licence", "cover_licence").agg(F.count("*").alias("n"))

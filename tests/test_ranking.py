@@ -82,7 +82,7 @@ def test_midranks(spark):
 
 def test_shared_negatives(spark):
     df = spark.createDataFrame([("a", 0.9, T), ("b", 0.4, T), (None, 0.5, F_), (None, 0.1, F_), (None, 0.5, F_)], "arm string, score double, label boolean")
-    got = {r.arm: r.auc for r in ranking.auc(ranking.shared_negatives(df), ["arm"]).collect()}
+    got = {r.arm: r.auc for r in ranking.auc(ranking.shared_negatives(df, []), ["arm"]).collect()}
     assert got == {"a": 1.0, "b": pytest.approx(1 / 3)}
 
 
