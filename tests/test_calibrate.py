@@ -113,3 +113,12 @@ def test_ensemble():
     assert ((m.decision(x[400:]) > 0.5) == y[400:]).mean() > 0.85 and m.oob_error < 0.25
     null = c.FisherEnsemble(sizes=(4,), seed=3).fit(x[:400], rng.permutation(y[:400]))
     assert abs(((null.decision(x[400:]) > 0.5) == y[400:]).mean() - 0.5) < 0.15
+
+
+def test_power_grows_with_the_shift(spark):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=60), rng.normal(size=60)
+    hit = lambda shift: np.mean([c.shifted_replicate(a, b, shift, s, 19) <= 0.05 for s in range(4)])
+    assert hit(2.0) == 1.0 and hit(0.0) < 1.0
+    parts = [F.lit(1.0), F.lit(2.0)]
+    assert len(c.shares(F.lit(4.0), dict(zip("ab", parts, strict=True)))) == 2

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallyglass.functions import media
 from tallyglass.functions import text as X
 from tallyglass.functions.names import plain_digest, plain_name, plain_side
-from tallyglass.operators import assign, compaction, integrity, pairing, prints, report, runs
+from tallyglass.operators import assign, compaction, integrity, pairing, prints, release, report, runs
 
 
 def test_names(spark):
@@ -208,3 +208,24 @@ def test_report_cells(spark):
     assert [r.line for r in report.aligned(df.orderBy("x"), ["embedder", "x"]).collect()] == ["b  0.1", "a  0.2", "b  0.3"]
     many = report.mark_repeats(df, ["detector", "embedder"])
     assert {(r.embedder, r.repeats) for r in many.collect()} == {("a", 1), ("b", 2)}
+
+
+def test_release_checks(spark):
+    rows = spark.createDataFrame([("a", None, 1), ("b", "x", 2), ("c", "y", 3), (None, "z", 4)], "k string, d string, i int")
+    known = spark.createDataFrame([("a", "n"), ("b", "x"), ("c", "w")], "k string, d string")
+    assert {r.i: (r.d, r.written) for r in release.stamped(rows, known, "k", "d").collect()} == {1: ("n", True), 2: ("x", False), 3: ("w", True), 4: ("z", False)}
+    names = lambda xs: spark.createDataFrame([(x,) for x in xs], "k string")
+    assert {r.k: r.status for r in release.credit_check(names("aabc"), names("abd"), "k").collect()} == {"a": "repeated", "b": "ok", "c": "extra", "d": "absent"}
+    got = release.packed_check(known, spark.createDataFrame([("a", "n"), ("b", "q"), ("e", "e")], "k string, d string"), "k", "d")
+    assert {r.k: r.status for r in got.collect()} == {"a": "ok", "b": "stale", "c": "unknown", "e": "missing"}
+    lines = spark.createDataFrame([("1", "x"), ("2", "y")], "digest string, name string")
+    moved = release.retargeted(lines, spark.createDataFrame([("x", "zz")], "old string, new string"))
+    assert [r.line for r in release.sum_lines(moved).collect()] == ["2  y", "1  zz"]
+    flags = spark.createDataFrame([(" Kiln ", ["kiln"]), ("", [""]), (None, ["a"]), ("x", None)], "t string, a array<string>").select(release.contaminated(F.col("t"), F.col("a")))
+    assert [r[0] for r in flags.collect()] == [True, False, False, False]
+    floors = spark.createDataFrame([("a", 9, 10, 80.0), ("a", 0, 0, 80.0), ("b", 1, 2, 60.0)], "component string, covered int, total int, floor double")
+    assert {r.component: (r.new_floor, r.verdict) for r in release.raised_floors(floors).collect()} == {"a": (90.0, "ok"), "b": (60.0, "below")}
+    claims = spark.createDataFrame([("covers", "there are 1,200 covers in 3 tiers")], "name string, sentence string")
+    assert [r.stated for r in release.stale_numbers(claims, spark.createDataFrame([("covers", 1200.0)], "name string, value double")).collect()] == [3.0]
+    plugins = spark.createDataFrame([([("p", "docker")],)], "p array<struct<name:string,route:string>>").select(release.migrated_plugins(F.col("p"), {"docker": ("digest", "container")}).alias("p")).first().p
+    assert tuple(plugins[0]) == ("p", "digest", "container")
