@@ -156,17 +156,20 @@ class HistoryIndex:
         match nothing. Row ids must be unique.
         """
         new = batch.filter("digest is not null or (d is not null and p is not null)").withColumn("content", content_key())
-        old = self._read("contents", "content string, d long, p long, row_id long, batch int, bucket int").drop("bucket")
-        rows = cut(new.select("content", "d", "p", "row_id", F.col("batch").cast("int").alias("batch")).unionByName(old), "rows")
-        contents = cut(rows.groupBy("content").agg(
-            F.count("*").alias("n"), F.max(F.col("batch") > 0).alias("is_new"), F.min("d").alias("d"), F.min("p").alias("p"),
-        ).withColumn("chunks", F.ceil(F.col("n") / ROW_CHUNK).cast("int")), "sizes")
-        known = contents.filter("d is not null and p is not null").select("d", "p", "is_new")
-        touched = known.filter("is_new").select(F.explode(_bands("d")).alias("b")).select("b.i", "b.band").distinct()
-        # band-local semi-join: an old content counts only where it shares a band with the batch
-        shared = self._read("bands", "d long, p long, i int, band long, bucket int").join(F.broadcast(touched), ["i", "band"], "left_semi").select("d", "p").distinct()
-        compared = known.filter("is_new").unionByName(known.filter("not is_new").join(shared, ["d", "p"], "left_semi"))
-        near = near_contents(compared).select(F.concat_ws(":", "d1", "p1").alias("left"), F.concat_ws(":", "d2", "p2").alias("right"))
+        fresh = cut(new.groupBy("content").agg(F.min("d").alias("d"), F.min("p").alias("p")), "fresh")
+        prints = fresh.filter("d is not null and p is not null").select("d", "p")
+        touched = prints.select(F.explode(_bands("d")).alias("b")).select("b.i", "b.band").distinct().withColumn("bucket", self._bucket("i", "band"))
+        # band-local semi-join: an old print counts only where it shares a band with the batch; other buckets aren't read
+        held = self._read("bands", "d long, p long, i int, band long, bucket int").join(F.broadcast(touched), ["bucket", "i", "band"], "left_semi")
+        shared = held.select("d", "p").distinct().join(prints, ["d", "p"], "left_anti")
+        compared = prints.withColumn("is_new", F.lit(True)).unionByName(shared.withColumn("is_new", F.lit(False)))
+        near = cut(near_contents(compared).select(F.concat_ws(":", "d1", "p1").alias("left"), F.concat_ws(":", "d2", "p2").alias("right")), "near")
+        # of the history only the rows of the batch's contents and their neighbours are needed
+        wanted = fresh.select("content").unionByName(near.select(F.col("left").alias("content"))).unionByName(near.select(F.col("right").alias("content"))).distinct()
+        old = join_facts(self._read("contents", "content string, d long, p long, row_id long, batch int, bucket int"), wanted, "content", "inner")
+        columns = ["content", "row_id", F.col("batch").cast("int").alias("batch")]
+        rows = cut(new.select(*columns).unionByName(old.select(*columns)), "rows")
+        contents = cut(rows.groupBy("content").agg(F.count("*").alias("n"), F.max(F.col("batch") > 0).alias("is_new")).withColumn("chunks", F.ceil(F.col("n") / ROW_CHUNK).cast("int")), "sizes")
         sizes = contents.select("content", "chunks")
         pairs = (
             near.join(sizes.select(F.col("content").alias("left"), F.col("chunks").alias("lc")), "left")

@@ -35,7 +35,7 @@ def p5_shares(spark, folder):
 
 def p6_found(spark, folder):
     rows = cut(history.clean_rows(table(spark, folder, "manifest"), table(spark, folder, "images")), "clean")
-    index = history.HistoryIndex(spark, new_folder(spark, "history"))
+    index = history.HistoryIndex(spark, new_folder(spark, "history"), int(spark.conf.get("spark.sql.shuffle.partitions")))
     index.append(rows.filter("batch = 0"))
     return index.duplicates(rows.filter("batch > 0"))
 
