@@ -123,3 +123,23 @@ def running_totals(rows: DataFrame, group: list[str], order: str, sums: dict[str
     on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_p") == F.col("_q")]
     joined = inside.join(starts, on)
     return joined.select(*rows.columns, *[(F.col(f"_s{i}") + F.col(f"_i{i}")).alias(new) for i, new in enumerate(sums)])
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the session's Python workers, once: they may start where it isn't on the path."""
+    import os
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_tallyglass_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tallyglass-code-")
+    atexit.register(_remove, folder)
+    archive = os.path.join(folder, "tallyglass.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._tallyglass_shipped = True
