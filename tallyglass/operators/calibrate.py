@@ -121,10 +121,7 @@ def folds_of(labels: np.ndarray, groups: np.ndarray | None, folds: int, seed: in
         names, where = np.unique(groups, return_inverse=True)
         if len(names) < folds:
             raise ValueError("fewer groups than folds")
-        order = rng.permutation(len(names))
-        place = np.empty(len(names), int)
-        place[order] = np.arange(len(names)) % folds
-        return place[where]
+        return (rng.permutation(len(names)) % folds)[where]
     out = np.empty(len(labels), int)
     for side in (False, True):
         at = np.flatnonzero(labels == side)
@@ -163,6 +160,101 @@ def permuted(labels: np.ndarray, pairs: np.ndarray | None, seed: int) -> np.ndar
     return labels ^ (rng.random(where.max() + 1) < 0.5)[where]
 
 
+def pair_flips(pairs: int, upto: int, seed: int = 0) -> np.ndarray:
+    """``(upto, pairs)``: which pairs swap their labels in each of the first null draws of one random stream."""
+    rng = np.random.default_rng(seed)
+    return np.array([rng.integers(0, 2, pairs) for _ in range(upto)], bool).reshape(upto, pairs)
+
+
+def _moments(z: np.ndarray, y: float, a: float, b: float) -> np.ndarray:
+    """Per row, the gradient of the logistic loss at (a, b) and its next three derivatives, each times powers of ``z``."""
+    p = 1 / (1 + np.exp(-np.clip(a * z + b, -700, 700)))
+    w = p * (1 - p)
+    powers = np.stack([np.ones_like(z), z, z * z, z**3, z**4], 1)
+    return np.concatenate([(p - y)[:, None] * powers[:, :2], w[:, None] * powers[:, :3], (w * (1 - 2 * p))[:, None] * powers[:, :4], (w * (1 - 6 * w))[:, None] * powers], 1)
+
+
+def _polynomial(t: np.ndarray, da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Gradient (of b, of a) and its derivatives at an offset, from summed ``_moments`` of any number of training sides."""
+    at = lambda first, j: t[:, first + j]
+    two = lambda first, j: at(first, j) * db * db + 2 * at(first, j + 1) * da * db + at(first, j + 2) * da * da
+    g = [at(0, j) + at(2, j) * db + at(2, j + 1) * da + two(5, j) / 2 + (at(9, j) * db**3 + 3 * at(9, j + 1) * da * db * db + 3 * at(9, j + 2) * da * da * db + at(9, j + 3) * da**3) / 6 for j in (0, 1)]
+    h = [at(2, j) + at(5, j) * db + at(5, j + 1) * da + two(9, j) / 2 for j in (0, 1, 2)]
+    return g[0], g[1], h[0], h[1], h[2]
+
+
+def paired_costs(stego: np.ndarray, clean: np.ndarray, flips: np.ndarray, seeds: int = 20, folds: int = FOLDS, bound: float = BOUND) -> np.ndarray:
+    """``(draws, seeds)``: cross-validated cost of each labelling of the pairs, whole pairs being dealt to folds.
+
+    Row ``d`` of ``flips`` says which pairs swap their labels. The same numbers as ``cllr_of`` over ``cross_validated``, which
+    fits ``draws x seeds x folds`` times: here all seeds and folds of a draw start at its fit to all rows. What a training side
+    lacks is a fold, so its optimum is near; it is found from derivatives summed by fold. Where their remainder could count,
+    the true gradients of the training sides are taken until they vanish, and what does not settle is fitted by itself.
+    """
+    m, both = len(stego), np.concatenate([stego, clean]).astype(float)
+    if not np.isfinite(both).all():
+        raise ValueError("a score is not finite")
+    if m < folds:
+        raise ValueError("fewer groups than folds")
+    out, sd = np.empty((len(flips), seeds)), both.std()
+    if sd == 0:
+        return np.ones_like(out)
+    z = (both - both.mean()) / sd
+    zs, zc = z[:m], z[m:]
+    deal = np.array([np.random.default_rng(s).permutation(m) % folds for s in range(seeds)])
+    into = (deal[:, None, :] == np.arange(folds)[:, None]).reshape(seeds * folds, m).astype(float)
+    heavy, top, ridge = max(1.0, (z**4).mean(), (np.abs(z) ** 5).mean()), math.log(bound), 1e-6
+    for d, flip in enumerate(flips):
+        pos, neg = np.where(flip, zc, zs), np.where(flip, zs, zc)
+        near = Logistic(bound).fit(np.concatenate([pos, neg]), np.repeat([True, False], m))
+        a = near.a / near.scale
+        b = near.b - a * near.mean
+        each = _moments(pos, 1.0, a, b) + _moments(neg, 0.0, a, b)
+        train = each.sum(0) - into @ each
+        train[:, 1] += ridge * a
+        train[:, 4] += ridge
+        da = db = np.zeros(len(train))
+        with np.errstate(all="ignore"):
+            for _ in range(6):
+                gb, ga, hbb, hab, haa = _polynomial(train, da, db)
+                det = hbb * haa - hab * hab
+                da, db = da - (hbb * ga - hab * gb) / det, db - (haa * gb - hab * ga) / det
+            rest = np.nan_to_num((da**4 * heavy + db**4) / 24, nan=np.inf).reshape(seeds, folds).max(1)
+        fits, bad = np.stack([a + da, b + db], 1), np.repeat(rest > 1e-8, folds)
+        if bad.any():
+            fits[bad], settled = _refined(fits[bad], np.stack([hbb, hab, haa], 1)[bad], pos, neg, 1 - into[bad], ridge)
+            bad[bad] = ~settled
+        fits, bad = fits.reshape(seeds, folds, 2), bad.reshape(seeds, folds).any(1)
+        for s in range(seeds):
+            if bad[s]:
+                y, g = np.repeat([True, False], m), np.tile(np.arange(m), 2)
+                lr = cross_validated(np.concatenate([pos, neg]), y, folds, bound, s, g)
+                out[d, s] = cllr_of(lr[:m], lr[m:])
+                continue
+            ka, kb = fits[s, deal[s]].T
+            up, down = np.clip(ka * pos + kb, -top, top), np.clip(ka * neg + kb, -top, top)
+            out[d, s] = (np.log1p(np.exp(-up)).mean() + np.log1p(np.exp(down)).mean()) / (2 * math.log(2))
+    return out
+
+
+def _refined(fits: np.ndarray, curve: np.ndarray, pos: np.ndarray, neg: np.ndarray, keep: np.ndarray, ridge: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(a, b)`` of each training side (a row of ``keep``) moved until its true gradient vanishes, and whether it did."""
+    a, b = fits.T.copy()
+    hbb, hab, haa = curve.T
+    sigma = lambda z: 1 / (1 + np.exp(-np.clip(a[:, None] * z + b[:, None], -700, 700)))
+    n, done = 2 * keep.sum(1), np.zeros(len(a), bool)
+    with np.errstate(all="ignore"):
+        det = hbb * haa - hab * hab
+        for _ in range(8):
+            up, down = (sigma(pos) - 1) * keep, sigma(neg) * keep
+            ga, gb = up @ pos + down @ neg + ridge * a, up.sum(1) + down.sum(1)
+            done = (np.maximum(np.abs(ga), np.abs(gb)) / n < 1e-10) & (det > 0)
+            if done.all():
+                break
+            a, b = np.where(done, a, a - (hbb * ga - hab * gb) / det), np.where(done, b, b - (haa * gb - hab * ga) / det)
+    return np.stack([a, b], 1), done
+
+
 def fan_out(cells: DataFrame, group: list[str], draws: int, kernel, schema: str) -> DataFrame:
     """Run ``kernel(rows, draw) -> dict`` for every cell and draw, each in its own task group.
 
@@ -178,6 +270,22 @@ def fan_out(cells: DataFrame, group: list[str], draws: int, kernel, schema: str)
     return work.groupBy(*group, "draw").applyInPandas(run, f"{kinds}, draw int, {schema}")
 
 
+def fan_out_blocks(cells: DataFrame, group: list[str], draws: int, block: int, kernel, schema: str) -> DataFrame:
+    """``fan_out`` with ``kernel(rows, draws) -> list of dicts``, one for each of up to ``block`` draws: a cell's rows are replicated
+    once per block, and what its draws share is made once."""
+    work = cells.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // block))))
+    # few bytes and much work: parts must not be coalesced by size
+    work = work.repartition(8 * work.sparkSession.sparkContext.defaultParallelism, *group, "_block")
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        some = range(int(key[-1]) * block, min(draws, (int(key[-1]) + 1) * block))
+        same = dict(zip(group, key[:-1], strict=True))
+        return pd.DataFrame([same | {"draw": d} | row for d, row in zip(some, kernel(pdf, some), strict=True)])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells.schema.fields if f.name in group)
+    return work.groupBy(*group, "_block").applyInPandas(run, f"{kinds}, draw int, {schema}")
+
+
 def p_value(null: Column | str, observed_value: Column | str) -> Column:
     """Aggregate: ``(1 + draws at or below the observed value) / (1 + draws)``."""
     n = F.col(null) if isinstance(null, str) else null

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyglass.functions import text as T
@@ -14,6 +15,10 @@ from tallyglass.plans.detection import per_arm_auc_own_covers
 from tallyglass.shared import cut
 from tallyglass.sources.tables import table
 
+#: The reference's null: draws, and the fold seeds that each draw and the observed cost are averaged over.
+PERMUTATIONS, FOLD_SEEDS = 200, 20
+#: Draws whose rows go to one task.
+BLOCK = 26
 DRAWS, SEEDS, FOLDS = 40, 2, 5
 
 
@@ -99,13 +104,18 @@ def power_crossing(spark, folder):
     return calibrate.crossing(curve, ["detector"], "x", "power", 0.5).withColumn("crossing", F.round("crossing", 9))
 
 
-def _cells(spark, folder):
-    """Pairs of an arm's image and its cover's clean image, both scored: the rows of a calibration cell."""
+def _pairs(spark, folder):
+    """``arm, detector, cover, stego, clean``: an arm's image and its cover's clean image, both scored."""
     rows = long_scores(spark, folder).filter("score is not null")
     clean = rows.filter("not label").groupBy("cover", "detector").agg(F.min("score").alias("clean"))
     pairs = rows.filter("label and arm is not null").groupBy("arm", "cover", "detector").agg(F.min("score").alias("stego")).join(clean, ["cover", "detector"])
+    return cut(pairs.select("arm", "detector", "cover", "stego", "clean"), "pairs")
+
+
+def _cells(spark, folder):
+    """The pairs as rows of a calibration cell."""
     two = F.explode(F.array(F.struct(F.lit(True).alias("label"), F.col("stego").alias("score")), F.struct(F.lit(False).alias("label"), F.col("clean").alias("score"))))
-    return cut(pairs.select("arm", "detector", "cover", two.alias("r")).select("arm", "detector", "cover", "r.label", "r.score"), "cells")
+    return _pairs(spark, folder).select("arm", "detector", "cover", two.alias("r")).select("arm", "detector", "cover", "r.label", "r.score")
 
 
 def _decomposed(pdf, seed):
@@ -132,10 +142,28 @@ def _null(pdf, draw):
     return {"null": cost(z, draw % SEEDS), "observed": cost(y, draw % SEEDS)}
 
 
+def _costs(pdf, draws):
+    """Cost of each draw's labels, averaged over the fold seeds; draw 0 has the true labels."""
+    pdf = pdf.sort_values("cover", kind="stable")
+    if len(pdf) < calibrate.FOLDS:
+        return [{"cost": None} for _ in draws]
+    flips = np.concatenate([np.zeros((1, len(pdf)), bool), calibrate.pair_flips(len(pdf), draws[-1])])[list(draws)]
+    costs = calibrate.paired_costs(pdf["stego"].to_numpy(), pdf["clean"].to_numpy(), flips, FOLD_SEEDS)
+    return [{"cost": round(float(c), 12)} for c in costs.mean(1)]  # without rounding, equal costs would differ in their last bits
+
+
+def _null_draws(spark, folder):
+    """``arm, detector, draw, null, observed`` of every cell: the averaged cost of each permutation beside that of the true labels."""
+    costs = calibrate.fan_out_blocks(_pairs(spark, folder), ["arm", "detector"], PERMUTATIONS + 1, BLOCK, _costs, "cost double")
+    observed = F.max(F.when(F.col("draw") == 0, F.col("cost"))).over(W.partitionBy("arm", "detector"))
+    return costs.withColumn("observed", observed).filter("draw > 0").withColumnRenamed("cost", "null")
+
+
 def permutation_pvalue(spark, folder):
-    draws = calibrate.fan_out(_cells(spark, folder).filter("detector = 'stegexpose'"), ["arm", "detector"], DRAWS, _null, "null double, observed double")
-    each = draws.groupBy("arm", "detector").agg(calibrate.p_value("null", F.col("observed")).alias("p"), F.avg("observed").alias("cllr"))
-    return each.select("arm", "detector", F.round("p", 9).alias("p"), F.round("cllr", 9).alias("cllr"), calibrate.verdict("p", "cllr").alias("verdict"))
+    each = _null_draws(spark, folder).groupBy("arm", "detector").agg(calibrate.p_value("null", F.col("observed")).alias("p"), F.max("observed").alias("cllr"))
+    few = F.col("cllr").isNull()
+    verdict = F.when(few, "too few scored to calibrate").otherwise(calibrate.verdict("p", "cllr"))
+    return each.select("arm", "detector", F.when(~few, F.round("p", 9)).alias("p"), F.round("cllr", 9).alias("cllr"), verdict.alias("verdict"))
 
 
 def mde_summary(spark, folder):
