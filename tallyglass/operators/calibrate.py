@@ -326,15 +326,22 @@ def upper_critical_index(n: int, alpha: float = 0.05) -> int:
     return min(n - 1, math.ceil((1 - alpha) * (1 + n)) - 1)
 
 
-def null_summary(draws: DataFrame, group: list[str], value: str, n: int, alpha: float = 0.05) -> DataFrame:
-    """Mean, median, deviation, extremes and critical values of each cell's ``n`` null draws."""
+def null_summary(draws: DataFrame, group: list[str], value: str, n: int, alpha: float = 0.05, extra: list[Column] | None = None) -> DataFrame:
+    """Mean, median, deviation, extremes and critical values of each cell's ``n`` null draws, and ``extra`` aggregates."""
     ordered = F.array_sort(F.collect_list(value))  # ``n`` draws a cell
     return draws.groupBy(*group).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.try_element_at(ordered, F.lit(critical_index(n, alpha) + 1)).alias("crit_low"), F.try_element_at(ordered, F.lit(upper_critical_index(n, alpha) + 1)).alias("crit_high"),
+        F.try_element_at(ordered, F.lit(critical_index(n, alpha) + 1)).alias("crit_low"), F.try_element_at(ordered, F.lit(upper_critical_index(n, alpha) + 1)).alias("crit_high"), *(extra or []),
     )
 
 
+def effect_columns(observed_value: str, mean: str = "mean", low: str = "crit_low", high: str = "crit_high") -> list[Column]:
+    """Least effect that can be detected either way, the observed one, and how much of the lower one that is; null when the null
+    has no width."""
+    o, m, lo, hi = (F.col(c) for c in (observed_value, mean, low, high))
+    return [(m - lo).alias("mde_down"), (hi - m).alias("mde_up"), (m - o).alias("observed_effect"), F.try_divide(m - o, m - lo).alias("shortfall_ratio")]
+
+
 def wilson(k: Column | str, n: Column | str, z: float = 1.96) -> tuple[Column, Column]:
     """Low and high of the Wilson interval, (0, 1) without trials."""
     k, n = (F.col(x).cast("double") if isinstance(x, str) else x for x in (k, n))

@@ -19,7 +19,7 @@ from tallyglass.sources.tables import table
 PERMUTATIONS, FOLD_SEEDS = 200, 20
 #: Draws whose rows go to one task.
 BLOCK = 26
-DRAWS, SEEDS, FOLDS = 40, 2, 5
+SEEDS, FOLDS = 2, 5
 
 
 def results(spark, folder):
@@ -132,16 +132,6 @@ def cllr_decomposition(spark, folder):
     return parts.groupBy("arm", "detector").agg(F.max("n").alias("n"), *[F.round(F.avg(c), 9).alias(c) for c in ("cllr", "cllr_min", "cllr_cal")], F.round(F.stddev_pop("cllr"), 9).alias("sd"))
 
 
-def _null(pdf, draw):
-    pdf = pdf.sort_values(["cover", "label"], kind="stable")
-    y, g, s = pdf["label"].to_numpy(bool), pdf["cover"].to_numpy(), pdf["score"].to_numpy()
-    if len(np.unique(g)) < FOLDS:
-        return {"null": None, "observed": None}
-    cost = lambda labels, seed: calibrate.cllr_of(*[calibrate.cross_validated(s, labels, FOLDS, seed=seed, groups=g)[labels == side] for side in (True, False)])
-    z = calibrate.permuted(y, g, 1000 + draw)
-    return {"null": cost(z, draw % SEEDS), "observed": cost(y, draw % SEEDS)}
-
-
 def _costs(pdf, draws):
     """Cost of each draw's labels, averaged over the fold seeds; draw 0 has the true labels."""
     pdf = pdf.sort_values("cover", kind="stable")
@@ -167,8 +157,9 @@ def permutation_pvalue(spark, folder):
 
 
 def mde_summary(spark, folder):
-    draws = calibrate.fan_out(_cells(spark, folder).filter("detector = 'stegexpose'"), ["arm", "detector"], DRAWS, _null, "null double, observed double")
-    return calibrate.null_summary(draws, ["arm", "detector"], "null", DRAWS)
+    draws = _null_draws(spark, folder).filter("observed is not null")
+    total = calibrate.null_summary(draws, ["arm", "detector"], "null", PERMUTATIONS, extra=[F.max("observed").alias("observed")])
+    return total.select("*", *calibrate.effect_columns("observed"))
 
 
 def pav_calibration(spark, folder):

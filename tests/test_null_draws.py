@@ -68,3 +68,15 @@ def test_pvalue_of_every_detector(spark, monkeypatch, pairs):
     assert got["a", "aletheia_rs"].p == pytest.approx((1 + (null <= seen).sum()) / 201, abs=1e-9)
     assert got["a", "aletheia_spa"].p == pytest.approx(1 / 201, abs=1e-9) and got["a", "aletheia_spa"].verdict == "informative"
     assert got["b", "stegexpose"].p is None and got["b", "stegexpose"].verdict == "too few scored to calibrate"
+
+
+def test_mde_of_every_detector(spark, monkeypatch, pairs):
+    monkeypatch.setattr(results, "_pairs", lambda *_: pairs)
+    got = {(r.arm, r.detector): r for r in results.mde_summary(spark, FOLDER).collect()}
+    assert set(got) == {("a", "aletheia_rs"), ("a", "aletheia_spa"), ("a", "stegexpose")}
+    seen, null = averaged(pairs, "aletheia_rs")
+    null, r = np.sort(null), got["a", "aletheia_rs"]
+    low, high, mean = null[9], null[190], null.mean()
+    assert r.n == 200 and (r.crit_low, r.crit_high, r.observed) == pytest.approx((low, high, seen), abs=1e-8)
+    assert (r.mde_down, r.mde_up, r.observed_effect) == pytest.approx((mean - low, high - mean, mean - seen), abs=1e-8)
+    assert r.shortfall_ratio == pytest.approx((mean - seen) / (mean - low), abs=1e-5)
