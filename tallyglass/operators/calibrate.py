@@ -298,20 +298,18 @@ def verdict(p: Column | str, cost: Column | str) -> Column:
     return F.when((p < 0.05) & (cost < 0.95), "informative").when(p < 0.05, "detectable, not useful").otherwise("no evidential value")
 
 
-def shifted_replicate(stego: np.ndarray, clean: np.ndarray, shift: float, seed: int, permutations: int = 39, folds: int = 5) -> float:
-    """The permutation p of one bootstrap replicate: pairs drawn with replacement, the stego side moved by ``shift`` deviations."""
+def shifted_replicate(stego: np.ndarray, clean: np.ndarray, shift: float, seed, permutations: int = 100, folds: int = FOLDS, seeds: int = 20, flip_seed: int | None = None) -> float:
+    """The permutation p of one bootstrap replicate: pairs drawn with replacement, the stego side moved by ``shift`` deviations.
+
+    The observed cost and each of the replicate's own null draws are averaged over ``seeds`` fold seeds, whole pairs being
+    dealt to folds. ``flip_seed`` (``seed``, if it is a number) begins the stream of the null's flips.
+    """
     rng = np.random.default_rng(seed)
     at = rng.integers(0, len(stego), len(stego))
     moved = stego[at] + shift * (np.concatenate([stego, clean]).std() or 1.0)
-    scores, labels, pairs = np.concatenate([moved, clean[at]]), np.repeat([True, False], len(at)), np.tile(np.arange(len(at)), 2)
-
-    def cost(y: np.ndarray) -> float:
-        lr = cross_validated(scores, y, folds, seed=seed, groups=pairs)
-        return cllr_of(lr[y], lr[~y])
-
-    seen = cost(labels)
-    null = [cost(permuted(labels, pairs, seed * 1009 + k)) for k in range(permutations)]
-    return (1 + sum(v <= seen for v in null)) / (1 + permutations)
+    flips = np.concatenate([np.zeros((1, len(at)), bool), pair_flips(len(at), permutations, seed if flip_seed is None else flip_seed)])
+    costs = paired_costs(moved, clean[at], flips, seeds, folds).mean(1).round(12)
+    return float((1 + (costs[1:] <= costs[0]).sum()) / (1 + permutations))
 
 
 def critical_index(n: int, alpha: float = 0.05) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,6 +21,10 @@ from tallyglass.sources.tables import table
 PERMUTATIONS, FOLD_SEEDS = 200, 20
 #: Draws whose rows go to one task.
 BLOCK = 26
+#: The reference's power curve: shifts in deviations of the cell's scores, replicates at each, draws of a replicate's null.
+SHIFTS, REPLICATES, POWER_DRAWS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.45), 100, 100
+#: Replicates whose rows go to one task.
+REPLICATE_BLOCK = 70
 SEEDS, FOLDS = 2, 5
 
 
@@ -162,6 +168,34 @@ def mde_summary(spark, folder):
     return total.select("*", *calibrate.effect_columns("observed"))
 
 
+def _replicates(grid, draws, seeds, pdf, jobs):
+    """One bootstrap replicate for each job, a place in the grid of shifts and numbers; null where there are too few pairs."""
+    pdf = pdf.sort_values("cover", kind="stable")
+    if len(pdf) < calibrate.FOLDS:
+        return [{"x": None, "p": None} for _ in jobs]
+    stego, clean = pdf["stego"].to_numpy(), pdf["clean"].to_numpy()
+    return [{"x": x, "p": calibrate.shifted_replicate(stego, clean, x, (0, rep, round(x * 1e6)), draws, seeds=seeds, flip_seed=rep)} for x, rep in (grid[j] for j in jobs)]
+
+
+def _power_curve(spark, folder):
+    """``arm, detector, x, hits, n, power``: share of the replicates that reject at each shift."""
+    grid = [(x, rep) for x in SHIFTS for rep in range(REPLICATES)]
+    done = calibrate.fan_out_blocks(_pairs(spark, folder), ["arm", "detector"], len(grid), REPLICATE_BLOCK, partial(_replicates, grid, POWER_DRAWS, FOLD_SEEDS), "x double, p double")
+    curve = done.filter("x is not null").groupBy("arm", "detector", "x").agg(F.count("*").alias("n"), F.count_if(F.col("p") <= 0.05).alias("hits"))
+    return cut(curve.withColumn("power", F.col("hits") / F.col("n")), "power")
+
+
+def power_curve(spark, folder):
+    """Power of the permutation test by shift, with its Wilson interval, and the shifts at which it reaches 50, 80 and 95 % (null if never)."""
+    curve = _power_curve(spark, folder)
+    low, high = calibrate.wilson("hits", "n")
+    shown = curve.select("arm", "detector", "x", "n", "hits", "power", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+    for level in (50, 80, 95):
+        at = calibrate.crossing(curve, ["arm", "detector"], "x", "power", level / 100)
+        shown = shown.join(at.select("arm", "detector", F.round("crossing", 9).alias(f"crossing_{level}")), ["arm", "detector"])
+    return shown
+
+
 def pav_calibration(spark, folder):
     """Isotonic probability per detector at each tenth of the scores."""
 
@@ -198,7 +232,7 @@ def ensemble_votes(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     results, report_rows, report_lines, result_documents, budgets_by_arm, result_validation, nearest_names, one_answer_columns, sign_test, wilson_interval, cllr, bound_cost, verbal_band, power_crossing,
-    cllr_decomposition, permutation_pvalue, mde_summary, pav_calibration, ensemble_votes,
+    cllr_decomposition, permutation_pvalue, mde_summary, power_curve, pav_calibration, ensemble_votes,
 )}
 
 _OWN = DETECTION["per_arm_auc_own_covers"]
