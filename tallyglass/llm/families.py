@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from tallyglass.shared import cut, join_facts
 
-#: Rounds after which a component search gives up; each round at least doubles the reach of a label.
-MOST_ROUNDS = 60
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label``: the smallest node of each node's component, for ``edges`` with columns ``a, b``.
 
-    Alternates neighbour minima and pointer jumping until nothing changes. Every round is two aggregations with map-side
-    partials and joins that keep heavy nodes in place; it ends in a table in the shared folder, so lineage stays short and
-    lost executors cost one round. Edges and labels never reach the driver. Self-loops, repeated edges and nulls are
+    Labels form trees, a label being a node of the same component that isn't larger. Each round hooks what a node points to
+    (its label, and the node itself) under the smallest label among the neighbours, then lets every node take its label's
+    label. Hooking labels and not only nodes lets a small label take over a tree as a whole, in whatever order the names come.
+    It ends when a round changes nothing: labels only ever fall, so it always does. Every round is a few aggregations with
+    map-side partials and joins that keep heavy nodes in place; it ends in a table in the shared folder, so lineage stays short
+    and lost executors cost one round. Edges and labels never reach the driver. Self-loops, repeated edges and nulls are
     allowed (edges with a null end are none); no edges give no rows.
     """
     both = edges.filter(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
@@ -24,9 +24,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     if labels.isEmpty():
         return labels
-    for _ in range(MOST_ROUNDS):
+    while True:
         near = join_facts(both.withColumnRenamed("b", "node"), labels, "node", "inner").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lowered = labels.join(near, "node", "left").select("node", F.least("label", "near").alias("low"), F.col("label").alias("old"))
+        offers = labels.join(near, "node").select("node", "label", "near")
+        # a node and the label it has are both offered the least label next to the node
+        hooked = offers.select(F.explode(F.array("node", "label")).alias("node"), "near").groupBy("node").agg(F.min("near").alias("near"))
+        lowered = cut(labels.join(hooked, "node", "left").select("node", F.least("label", "near").alias("low"), F.col("label").alias("old")), "hooked")
         # jump: a node takes its label's label
         jump = lowered.select(F.col("node").alias("low"), F.col("low").alias("lower"))
         moved = join_facts(lowered, jump, "low", "left").select("node", F.least("low", "lower").alias("label"), "old")
@@ -34,7 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         if step.filter("label <> old").isEmpty():
             return step.select("node", "label")
         labels = step.select("node", "label")
-    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
 
 
 def name_families(named: DataFrame) -> DataFrame:
