@@ -25,7 +25,8 @@ BLOCK = 26
 SHIFTS, REPLICATES, POWER_DRAWS = (0.0, 0.05, 0.1, 0.15, 0.2, 0.3, 0.45), 100, 100
 #: Replicates whose rows go to one task.
 REPLICATE_BLOCK = 70
-SEEDS, FOLDS = 2, 5
+#: Fold seeds whose rows go to one task.
+SEED_BLOCK = 5
 
 
 def results(spark, folder):
@@ -124,17 +125,19 @@ def _cells(spark, folder):
     return _pairs(spark, folder).select("arm", "detector", "cover", two.alias("r")).select("arm", "detector", "cover", "r.label", "r.score")
 
 
-def _decomposed(pdf, seed):
-    pdf = pdf.sort_values(["cover", "label"], kind="stable")
-    y, g = pdf["label"].to_numpy(bool), pdf["cover"].to_numpy()
-    if len(np.unique(g)) < FOLDS:
-        return {"n": len(pdf), "cllr": None, "cllr_min": None, "cllr_cal": None}
-    total, floor, loss = calibrate.decompose(calibrate.cross_validated(pdf["score"].to_numpy(), y, FOLDS, seed=seed, groups=g), y)
-    return {"n": len(pdf), "cllr": total, "cllr_min": floor, "cllr_cal": loss}
+def _decomposed(pdf, seeds):
+    """The decomposition of a cell for each fold seed."""
+    pdf = pdf.sort_values("cover", kind="stable")
+    n = len(pdf)
+    if n < calibrate.FOLDS:
+        return [{"n": 2 * n, "cllr": None, "cllr_min": None, "cllr_cal": None} for _ in seeds]
+    x, y, g = np.concatenate([pdf["stego"], pdf["clean"]]), np.repeat([True, False], n), np.tile(np.arange(n), 2)
+    parts = [calibrate.decompose(calibrate.cross_validated(x, y, seed=s, groups=g), y) for s in seeds]
+    return [{"n": 2 * n, "cllr": total, "cllr_min": floor, "cllr_cal": loss} for total, floor, loss in parts]
 
 
 def cllr_decomposition(spark, folder):
-    parts = calibrate.fan_out(_cells(spark, folder), ["arm", "detector"], SEEDS, _decomposed, "n int, cllr double, cllr_min double, cllr_cal double")
+    parts = calibrate.fan_out_blocks(_pairs(spark, folder), ["arm", "detector"], FOLD_SEEDS, SEED_BLOCK, _decomposed, "n int, cllr double, cllr_min double, cllr_cal double")
     return parts.groupBy("arm", "detector").agg(F.max("n").alias("n"), *[F.round(F.avg(c), 9).alias(c) for c in ("cllr", "cllr_min", "cllr_cal")], F.round(F.stddev_pop("cllr"), 9).alias("sd"))
 
 
