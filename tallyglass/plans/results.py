@@ -200,11 +200,10 @@ def power_curve(spark, folder):
 
 
 def pav_calibration(spark, folder):
-    """Isotonic probability per detector at each tenth of the scores."""
+    """Isotonic fit of each arm and detector: its least and greatest probability and its number of steps. Only equal scores are ties."""
 
     def kernel(pdf, _):
-        pdf = pdf.sort_values("score")
-        p = calibrate.pav(pdf["score"].to_numpy().round(2), pdf["label"].to_numpy(float))
+        p = calibrate.pav(pdf["score"].to_numpy(), pdf["label"].to_numpy(float))
         return {"low": float(p.min()), "high": float(p.max()), "steps": len(np.unique(p.round(12)))}
 
     return calibrate.fan_out(_cells(spark, folder), ["arm", "detector"], 1, kernel, "low double, high double, steps int").drop("draw")
