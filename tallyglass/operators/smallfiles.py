@@ -132,6 +132,21 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(lines, pa.binary())], ["fingerprint", "record"])
 
 
+def records_of(files: DataFrame, name: str, body: str) -> DataFrame:
+    """``noted, record``: every complete record of each body beside the name noted for the body."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            noted, lines = [], []
+            for known, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                found_here = [one_line(r).decode("utf-8", "replace") for r in complete_records(raw)]
+                noted += [known] * len(found_here)
+                lines += found_here
+            yield pa.RecordBatch.from_arrays([pa.array(noted, pa.string()), pa.array(lines, pa.string())], ["noted", "record"])
+
+    return files.select(F.col(name).alias("noted"), F.col(body).alias("body")).mapInArrow(split, "noted string, record string")
+
+
 def _packer(folder: str, frame_bytes: int):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard

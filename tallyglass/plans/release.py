@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyglass.operators import release, report
+from tallyglass.functions.names import plain_digest, plain_name
+from tallyglass.operators import release, report, smallfiles
 from tallyglass.plans.base import LISTED_SQL, SCORED_SQL, listed, scored
 from tallyglass.shared import cut
 from tallyglass.sources.tables import table
@@ -26,10 +27,19 @@ def credit_check(spark, folder):
     return release.credit_check(credits, rows, "name").groupBy("status").agg(F.count("*").alias("n"))
 
 
+def packed_digests(files):
+    """``name, digest``: each distinct digest that the complete records of all bodies give for a name of their own, a null one
+    for names (noted beside a body or in a record) without any."""
+    fields = smallfiles.records_of(files, "file", "body").select("noted", F.from_json("record", "file string, sha256 string").alias("r"))
+    records = fields.select(plain_name(F.coalesce("r.file", "noted")).alias("name"), plain_digest("r.sha256").alias("digest"))
+    noted = files.select(plain_name("file").alias("name"), F.lit(None).cast("string").alias("digest"))
+    each = records.unionByName(noted).filter("name is not null").groupBy("name").agg(F.collect_set("digest").alias("digests"))
+    return each.select("name", F.explode_outer("digests").alias("digest"))
+
+
 def packed_members(spark, folder):
     truth = listed(spark, folder).filter("arm = 'lsb-0400'").groupBy("name").agg(F.min("digest").alias("digest"))
-    sha = F.when(F.try_parse_json("body").isNotNull(), F.get_json_object("body", "$.sha256"))
-    packed = table(spark, folder, "lsb_0400").filter("file is not null").groupBy(F.col("file").alias("name")).agg(F.max(sha).alias("digest"))
+    packed = packed_digests(table(spark, folder, "lsb_0400"))
     return release.packed_check(packed, truth, "name", "digest").groupBy("status").agg(F.count("*").alias("n"))
 
 
