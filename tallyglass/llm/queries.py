@@ -34,10 +34,10 @@ def p5_shares(spark, folder):
 
 
 def p6_found(spark, folder):
+    """Each batch is checked against all batches before it and itself, then accepted, in the order of arrival."""
     rows = cut(history.clean_rows(table(spark, folder, "manifest"), table(spark, folder, "images")), "clean")
-    index = history.HistoryIndex(spark, new_folder(spark, "history"), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    index.append(rows.filter("batch = 0"))
-    return index.duplicates(rows.filter("batch > 0"))
+    found = history.arrivals(history.HistoryIndex(spark, new_folder(spark, "history")), rows)
+    return spark.createDataFrame([], "row_id_a long, row_id_b long") if found is None else found
 
 
 def _leaks(spark, folder):

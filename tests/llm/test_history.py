@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from tallyglass.llm import history
 from tallyglass.shared import new_folder
 
@@ -46,22 +47,24 @@ def brute(rows):
 
 
 def run(spark, rows):
+    """The old rows at once, then the others as one batch."""
     df = spark.createDataFrame(rows, ROWS)
     index = history.HistoryIndex(spark, new_folder(spark, "h"), 4)
-    index.append(df.filter("batch = 0"))
-    got = [tuple(r) for r in index.duplicates(df.filter("batch > 0")).collect()]
+    index.append("old", df.filter("batch = 0"))
+    got = [tuple(r) for r in index.check("new", df.filter("batch > 0")).collect()]
     assert len(got) == len(set(got))
     return set(got)
 
 
 def test_random(spark):
-    rows = make(random.Random(1), 500)
+    rows = make(random.Random(1), 400)
     assert run(spark, rows) == brute(rows)
 
 
 def test_flat_images_and_hot_copies(spark, monkeypatch):
     monkeypatch.setattr(history, "CHUNK", 40)
     monkeypatch.setattr(history, "ROW_CHUNK", 7)
+    monkeypatch.setattr(history, "BLOCK", 50)
     rng = random.Random(2)
     rows = [(i, i % 3, f"f{i}", 0, flip(rng, 0, rng.randrange(20)), "", 0) for i in range(200)] + [(1000 + i, i % 2, "hot", 5, 7, "", 0) for i in range(60)] + [(2000 + i, 1, "bare", None, None, "", 0) for i in range(30)]
     seen = {}
@@ -71,18 +74,53 @@ def test_flat_images_and_hot_copies(spark, monkeypatch):
 
 def test_batches_one_after_another(spark):
     rows = make(random.Random(3), 300)
+    df = spark.createDataFrame(rows, ROWS)
+    folder = new_folder(spark, "h")
+    got = [tuple(r) for r in history.arrivals(history.HistoryIndex(spark, folder, 4), df).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    assert history.arrivals(history.HistoryIndex(spark, folder), df) is None  # all is accepted: a run again adds nothing
+
+
+def test_reopened_with_other_settings(spark):
+    rows = make(random.Random(5), 300)
+    df = spark.createDataFrame(rows, ROWS)
+    folder = new_folder(spark, "h")
+    history.HistoryIndex(spark, folder, 16).append("old", df.filter("batch = 0"))
+    for buckets in (None,):
+        again = history.HistoryIndex(spark, folder, buckets)
+        assert again.buckets == 16 and again.accepted() == ["old"]
+        assert {tuple(r) for r in again.check("new", df.filter("batch > 0")).collect()} == brute(rows)
+
+
+def test_repeated_attempts_count_once(spark):
+    rows = make(random.Random(6), 200)
+    df = spark.createDataFrame(rows, ROWS)
+    folder = new_folder(spark, "h")
+    first = history.HistoryIndex(spark, folder, 4)
+    first.append("old", df.filter("batch = 0"))
+    first.put("new", df.filter("batch > 0"))  # lost before it was accepted
+    second = history.HistoryIndex(spark, folder)
+    second.append("old", df.filter("batch = 0"))  # accepted before: nothing happens
+    got = [tuple(r) for r in second.check("new", df.filter("batch > 0")).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows)
+    second.accept("new")
+    with pytest.raises(ValueError):
+        history.HistoryIndex(spark, folder).stage("new")
+    assert second.read("contents").count() == sum(r[2] is not None or r[3] is not None for r in rows)
+
+
+def test_history_is_not_shuffled(spark):
+    df = spark.createDataFrame(make(random.Random(7), 100), ROWS)
     index = history.HistoryIndex(spark, new_folder(spark, "h"), 4)
-    got = set()
-    for batch in (0, 1, 2):
-        part = spark.createDataFrame([(r[0], batch, *r[2:]) for r in rows if r[1] == batch], ROWS)
-        if batch:
-            got |= {tuple(r) for r in index.duplicates(part).collect() if True}
-        index.append(part.selectExpr("row_id", "0 batch", "digest", "d", "p"))
-    assert got == brute(rows)
+    index.append("old", df.filter("batch = 0"))
+    index.put("new", df.filter("batch > 0"))
+    plan = index.near("new")._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan and "hashpartitioning" not in plan
 
 
 def test_edges(spark):
     assert run(spark, []) == set()
+    assert history.arrivals(history.HistoryIndex(spark, new_folder(spark, "h"), 4), spark.createDataFrame([], ROWS)) is None
     assert run(spark, [(1, 1, None, None, None, "", 0), (2, 1, None, None, None, "", 0)]) == set()
     assert run(spark, [(1, 1, "x" * 100_000, None, None, "", 0), (2, 0, "x" * 100_000, None, None, "", 0), (3, 0, "x" * 100_000, None, None, "", 0)]) == {(1, 2), (1, 3)}
 
