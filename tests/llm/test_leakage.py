@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -92,3 +93,29 @@ def test_passes_are_alike(spark, monkeypatch):
     whole = run(spark, docs, items)
     monkeypatch.setattr(leakage, "PASS_WORDS", 20)
     assert run(spark, docs, items) == whole and len(whole) == 4
+
+
+def test_one_edit_stays_within_the_radius_and_the_similarity():
+    rng = random.Random(3)
+    names = [[f"v{rng.randrange(300)}" for _ in range(leakage.WINDOW)] for _ in range(200)]
+    index = leakage.ItemIndex(list(enumerate(names)))
+    moved = []
+    for number, item in enumerate(names):
+        k, kind, word = rng.randrange(12), rng.randrange(3), rng.choice(["other", "v1"])
+        doc = [*(item[:k] + ([word] if kind else []) + item[k + (kind < 2) :]), "v2"][: leakage.WINDOW]
+        ids = np.array([index.vocabulary.get(w, index.n) for w in doc])
+        got = [(int(w), float(s)) for _, ws, sims in index.candidates(ids, np.array([0])) for w, s in zip(ws, sims, strict=True)]
+        mine = [s for w, s in got if index.owner[index.starts[w]] == number]
+        assert len(mine) == 1 and mine[0] >= index.least[number] - 1e-9
+        a, b = index.hasher(ids, np.array([0]))[0], index.tables.prints[number]
+        moved.append(sum(int(x ^ y).bit_count() for x, y in zip(a, b, strict=True)))
+        assert (a != b).sum() <= leakage.RADIUS
+    assert np.mean(moved) > 3 and max(moved) > 8  # fingerprints found at a distance, not only equal ones
+
+
+def test_each_candidate_once():
+    rng = np.random.default_rng(1)
+    held, asked = rng.integers(0, 3, (300, leakage.BLOCKS)).astype(np.uint64), rng.integers(0, 3, (200, leakage.BLOCKS)).astype(np.uint64)
+    got = [(int(a), int(b)) for x, y in leakage.BlockTables(held).candidates(asked) for a, b in zip(x, y, strict=True)]
+    want = {(i, j) for i in range(200) for j in range(300) if (asked[i] != held[j]).sum() <= leakage.RADIUS}
+    assert len(got) == len(set(got)) and set(got) == want
