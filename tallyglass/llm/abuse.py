@@ -16,10 +16,15 @@ from tallyglass.functions.names import strip
 from tallyglass.llm.sample import hash63
 from tallyglass.llm.text import visible, without_markup
 
-#: Hash space of the terms, width of the interactions, and most labelled documents the model is fitted on.
+#: Hash space of the terms, and width and first spread of the interactions.
 SPACE_BITS = 18
 WIDTH = 8
+SPREAD = 0.3
+#: Most labelled documents the model is fitted on, and most terms of one of them; more sentences are sampled by their hash.
 MOST_LABELLED = 12_000
+MOST_TERMS = 4096
+#: Folds of the labelled documents whose labels are checked by a machine fitted on the others.
+FOLDS = 3
 #: Documents that the prior counts for when a term's odds are estimated.
 PRIOR = 8
 #: Probability from which a document counts as abusive.
@@ -78,10 +83,13 @@ def skeleton(word: str) -> str:
 
 
 class Terms:
-    """Hashed terms of segments: words, skeletons and neighbouring pairs, as numbers below ``2 ** SPACE_BITS``."""
+    """Hashed terms of segments: the distinct words and skeletons of each, as numbers below ``2 ** SPACE_BITS``.
+
+    No term holds two words: what words mean together is for the machine to learn.
+    """
 
     def __init__(self, bits: int = SPACE_BITS):
-        self.mask = np.uint64((1 << bits) - 1)
+        self.bits = bits
         self.cache: dict[str, tuple[tuple[int, int], ...]] = {}
 
     def _codes(self, raw: str) -> tuple[tuple[int, int], ...]:
@@ -112,64 +120,59 @@ class Terms:
                     owner.append(number)
         w, b = np.array(words, np.uint64), np.array(bones, np.uint64)
         seg = np.repeat(np.arange(len(lengths)), lengths)
-        token = np.where(b > 0, b, w)  # pairs of skeletons: masked letters don't part them
-        inner = np.flatnonzero(seg[1:] == seg[:-1])
-        pair = (token[inner] * np.uint64(0x9E3779B97F4A7C15)) ^ (token[inner + 1] * np.uint64(0xC2B2AE3D27D4EB4F))
-        pair ^= pair >> np.uint64(29)
-        terms = np.concatenate([w[w > 0], b[b > 0], pair])
-        of = np.concatenate([seg[w > 0], seg[b > 0], seg[inner]])
-        terms = ((terms * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20)) & self.mask
-        order = np.argsort(of, kind="stable")
-        starts = np.searchsorted(of[order], np.arange(len(lengths)))
-        return terms[order].astype(np.int32), starts, np.array(owner, np.int32)
+        terms = np.concatenate([w[w > 0], b[b > 0]])
+        terms = (terms * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(20) & np.uint64((1 << self.bits) - 1)
+        key = np.unique((np.concatenate([seg[w > 0], seg[b > 0]]) << self.bits) + terms.astype(np.int64))
+        of = key >> self.bits
+        named, starts = np.unique(of, return_index=True)
+        return (key & ((1 << self.bits) - 1)).astype(np.int32), starts, np.array(owner, np.int32)[named]
 
 
 class FactorizationMachine:
-    """``b + sum w_i x_i + sum <v_i, v_j> x_i x_j`` over the terms of a segment, each ``x = scale / sqrt(terms)``."""
+    """``b + sum w_i x_i + sum <v_i, v_j> x_i x_j`` over the terms of a segment, each ``x = 2 / sqrt(known terms)``.
+
+    With ``width`` 0 it is the linear model alone. Terms that training never met count nothing.
+    """
 
     def __init__(self, bits: int = SPACE_BITS, width: int = WIDTH, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.b = np.float32(-2.0)
         self.w = np.zeros(1 << bits, np.float32)
-        self.v = rng.normal(0, 0.02, (1 << bits, width)).astype(np.float32)
+        self.v = rng.normal(0, SPREAD, (1 << bits, width)).astype(np.float32)
         self.seen = np.zeros(1 << bits, bool)
 
+    def _parts(self, terms: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        lengths = np.diff(np.append(starts, len(terms)))
+        known = self.seen[terms]
+        x = np.repeat(2 / np.sqrt(np.maximum(np.add.reduceat(known, starts, dtype=np.float32), 1)), lengths) * known
+        vx = self.v[terms] * x[:, None]
+        total = np.add.reduceat(vx, starts, axis=0)
+        z = self.b + np.add.reduceat(self.w[terms] * x, starts) + 0.5 * (total * total - np.add.reduceat(vx * vx, starts, axis=0)).sum(1)
+        return z, x, vx, total, lengths
+
     def scores(self, terms: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Log odds per segment; terms that training never met count nothing."""
-        if not len(starts):
-            return np.zeros(0, np.float32)
+        """Log odds per segment."""
         out = np.empty(len(starts), np.float32)
-        ends = np.append(starts[1:], len(terms))
         for lo in range(0, len(starts), 20_000):
             hi = min(lo + 20_000, len(starts))
-            t = terms[starts[lo] : ends[hi - 1]]
-            s = starts[lo:hi] - starts[lo]
-            n = (ends[lo:hi] - starts[lo:hi]).astype(np.float32)
-            x = np.repeat(2.0 / np.sqrt(n), (ends[lo:hi] - starts[lo:hi])).astype(np.float32) * self.seen[t]
-            vx = self.v[t] * x[:, None]
-            total = np.add.reduceat(vx, s, axis=0)
-            square = np.add.reduceat(vx * vx, s, axis=0)
-            out[lo:hi] = self.b + np.add.reduceat(self.w[t] * x, s) + 0.5 * (total * total - square).sum(1)
+            end = starts[hi] if hi < len(starts) else len(terms)
+            out[lo:hi] = self._parts(terms[starts[lo] : end], starts[lo:hi] - starts[lo])[0]
         return out
 
     def step(self, terms: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray, state: dict, rate: float, decay: float) -> None:
         """One AdaGrad step of the logistic loss over some segments."""
-        lengths = np.diff(np.append(starts, len(terms)))
-        x = np.repeat(2.0 / np.sqrt(lengths), lengths).astype(np.float32)
-        vx = self.v[terms] * x[:, None]
-        total = np.add.reduceat(vx, starts, axis=0)
-        square = np.add.reduceat(vx * vx, starts, axis=0)
-        z = self.b + np.add.reduceat(self.w[terms] * x, starts) + 0.5 * (total * total - square).sum(1)
+        z, x, vx, total, lengths = self._parts(terms, starts)
         g = (weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32)
-        g_term = np.repeat(g, lengths)
+        g_term = np.repeat(g, lengths) * x
         uniq, where = np.unique(terms, return_inverse=True)
-        gw = np.bincount(where, g_term * x, len(uniq)).astype(np.float32) + decay * self.w[uniq]
-        each = g_term[:, None] * x[:, None] * (np.repeat(total, lengths, axis=0) - vx)
-        gv = np.stack([np.bincount(where, each[:, f], len(uniq)) for f in range(each.shape[1])], 1).astype(np.float32) + decay * self.v[uniq]
+        gw = np.bincount(where, g_term, len(uniq)).astype(np.float32) + decay * self.w[uniq]
         state["w"][uniq] += gw * gw
-        state["v"][uniq] += gv * gv
         self.w[uniq] -= rate * gw / np.sqrt(state["w"][uniq])
-        self.v[uniq] -= 0.5 * rate * gv / np.sqrt(state["v"][uniq])
+        if self.v.shape[1]:
+            each = g_term[:, None] * (np.repeat(total, lengths, axis=0) - vx)
+            gv = np.stack([np.bincount(where, each[:, f], len(uniq)) for f in range(each.shape[1])], 1).astype(np.float32) + decay * self.v[uniq]
+            state["v"][uniq] += gv * gv
+            self.v[uniq] -= rate * gv / np.sqrt(state["v"][uniq])
         gb = float(g.sum())
         state["b"] += gb * gb
         self.b -= np.float32(rate * gb / np.sqrt(state["b"]))
@@ -183,19 +186,22 @@ def _gather(terms, starts, pick):
     return terms[at], begin
 
 
-def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 10, seed: int = 7, bits: int = SPACE_BITS) -> FactorizationMachine:
-    """Fit on labelled documents: a document is abusive if one of its segments is (multiple-instance learning).
+def fit(data: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray, epochs: int = 10, seed: int = 7, bits: int = SPACE_BITS, width: int = WIDTH) -> FactorizationMachine:
+    """Fit on the terms of labelled documents: a document is abusive if one of its segments is (multiple-instance learning).
 
     Starts from the smoothed log odds of each term's document frequency; then in every epoch an abusive document teaches
     by its highest-scoring segment, another document by its three highest, so the machine looks for what sets abuse apart.
+    Segments are scored anew every other epoch. Documents without weight teach nothing.
     """
-    terms, starts, owner = Terms(bits)(texts)
-    model = FactorizationMachine(bits, seed=seed)
-    if not len(starts):
+    model = FactorizationMachine(bits, width, seed)
+    heavy = weight[data[2]] > 0
+    pick = np.flatnonzero(heavy)
+    if not len(pick):
         return model
-    lengths = np.diff(np.append(starts, len(terms)))
-    doc = np.repeat(owner, lengths)
-    once = np.unique(doc.astype(np.int64) * (1 << bits) + terms)
+    terms, starts = _gather(data[0], data[1], pick)
+    owner = data[2][pick]
+    doc = np.repeat(owner, np.diff(np.append(starts, len(terms))))
+    once = np.unique((doc.astype(np.int64) << bits) + terms)
     del doc
     d, t = once >> bits, once & ((1 << bits) - 1)
     pos = np.bincount(t, (y[d] > 0.5) * weight[d], 1 << bits)
@@ -209,50 +215,47 @@ def fit(texts: list[str], y: np.ndarray, weight: np.ndarray, epochs: int = 10, s
     model.seen = met >= 2
     odds[(bad < 2) & (odds > 0)] = 0
     model.w = np.where(model.seen, np.clip(odds, -1, 3), 0).astype(np.float32)
-    state = {"w": np.full(1 << bits, 0.1, np.float32), "v": np.full((1 << bits, WIDTH), 0.1, np.float32), "b": 1.0}
+    state = {"w": np.full(1 << bits, 0.1, np.float32), "v": np.full((1 << bits, width), 0.1, np.float32), "b": 1.0}
     rng = np.random.default_rng(seed)
-    n_docs = len(texts)
     for epoch in range(epochs):
-        z = model.scores(terms, starts)
-        order = np.lexsort((-z, owner))
-        first = np.searchsorted(owner[order], np.arange(n_docs))
-        place = np.arange(len(order)) - first[owner[order]]
-        most = np.where(y[owner[order]] > 0.5, 1, 3)
-        pick = rng.permutation(order[place < most])
+        if epoch % 2 == 0:
+            order = np.lexsort((-model.scores(terms, starts), owner))
+            first = np.searchsorted(owner[order], np.arange(len(y)))
+            place = np.arange(len(order)) - first[owner[order]]
+            chosen = order[place < np.where(y[owner[order]] > 0.5, 1, 3)]
+        pick = rng.permutation(chosen)
         for part in np.array_split(pick, max(1, len(pick) // 256)):
             some, begin = _gather(terms, starts, part)
             model.step(some, begin, (y[owner[part]] > 0.5).astype(np.float32), weight[owner[part]].astype(np.float32), state, 0.3 / (1 + 0.1 * epoch), 1e-4)
     return model
 
 
+def probabilities(model: FactorizationMachine, data: tuple[np.ndarray, np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Probability of each of ``n`` texts: that of its most abusive segment; 0 for texts without words."""
+    terms, starts, owner = data
+    out = np.zeros(n)
+    if len(starts):
+        np.maximum.at(out, owner, 1 / (1 + np.exp(-np.clip(model.scores(terms, starts).astype(np.float64), -30, 30))))
+    return out
+
+
 def document_scores(model: FactorizationMachine, terms: Terms, texts: list[str | None]) -> np.ndarray:
-    """Probability per text: that of its most abusive segment; 0 for texts without words."""
-    out = np.zeros(len(texts))
-    begin, size = 0, 0
+    """``probabilities`` of texts, some megabytes at a time."""
+    out, begin, size = [np.zeros(0)], 0, 0
     for end, text in enumerate(texts, 1):
         size += len(text or "")
         if size > 1_000_000 or end == len(texts):
-            t, starts, owner = terms(texts[begin:end])
-            if len(starts):
-                z = np.clip(model.scores(t, starts).astype(np.float64), -30, 30)
-                np.maximum.at(out, owner + begin, 1 / (1 + np.exp(-z)))
+            out.append(probabilities(model, terms(texts[begin:end]), end - begin))
             begin, size = end, 0
-    return out
+    return np.concatenate(out)
 
 
-def cleaned(texts: list[str], y: np.ndarray, weight: np.ndarray, folds: int = 3, seed: int = 7) -> np.ndarray:
-    """Weights without the labels that two machines fitted on the other folds clearly contradict: raters err."""
-    fold = np.array([zlib.crc32(t.encode()) % folds for t in texts])
-    keep = weight.copy()
-    for k in range(folds):
-        rest, held = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        if not len(held) or not len(rest):
-            continue
-        model = fit([texts[i] for i in rest], y[rest], weight[rest], epochs=5, seed=seed)
-        p = document_scores(model, Terms(), [texts[i] for i in held])
-        wrong = np.where(y[held] > 0.5, p < 0.2, p > 0.8)
-        keep[held[wrong]] = 0.0
-    return keep
+def contradicted(data: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight: np.ndarray, held: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Numbers of the documents in ``held`` whose labels a machine fitted on the others clearly contradicts: raters err."""
+    if not held.any() or held.all():
+        return np.zeros(0, np.int64)
+    p = probabilities(fit(data, y, np.where(held, 0.0, weight), epochs=5, seed=seed), data, len(y))
+    return np.flatnonzero(held & np.where(y > 0.5, p < 0.2, p > 0.8))
 
 
 def votes(labels: DataFrame) -> DataFrame:
@@ -263,26 +266,69 @@ def votes(labels: DataFrame) -> DataFrame:
     )
 
 
+def _sampled(terms: np.ndarray, starts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """A text's segments if they have at most ``most`` terms, else those with the smallest hashes that do, in their order."""
+    lengths = np.diff(np.append(starts, len(terms)))
+    if len(terms) <= most:
+        return terms, lengths
+    marks = np.array([zlib.crc32(terms[s : s + n].tobytes()) for s, n in zip(starts, lengths, strict=True)])
+    order = np.argsort(marks, kind="stable")
+    pick = np.sort(order[np.cumsum(lengths[order]) <= most])
+    return (_gather(terms, starts, pick)[0] if len(pick) else terms[:0]), lengths[pick]
+
+
+def _labelled_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, text, ...`` to ``doc_id, mark, terms, lengths, ...``: a checksum of the text, its terms and its segments' lengths."""
+    make = Terms()
+    for batch in batches:
+        marks, terms, lengths = [], [], []
+        for text in batch.column(1).to_pylist():
+            t, starts, _ = make([text])
+            t, n = _sampled(t, starts, MOST_TERMS)
+            marks.append(zlib.crc32(text.encode()))
+            terms.append(t)
+            lengths.append(n)
+        arrays = [batch.column(0), pa.array(marks, pa.int64()), pa.array(terms, pa.list_(pa.int32())), pa.array(lengths, pa.list_(pa.int32())), *batch.columns[2:]]
+        yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "terms", "lengths", *batch.schema.names[2:]])
+
+
 def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED, seed: str = "abuse-v1") -> FactorizationMachine:
     """Fit on at most ``most`` labelled documents, those with the smallest seeded hashes.
 
     A document is abusive if most of its votes say so; ties have no weight, more votes have more. Labels that
     cross-fitted machines clearly contradict are left out. The bound makes the sample, its votes (broadcast to the scan
-    of the documents, so no text is shuffled) and the time to fit independent of the data's size. Without labels of
-    both kinds every document scores as the prior.
+    of the documents, so no text is shuffled) and the time to fit independent of the data's size. Terms are made where the
+    texts are, at most ``MOST_TERMS`` of a document come to the driver, and the folds are fitted as tasks. Copies of one
+    text share a fold. Without labels of both kinds every document scores as the prior.
     """
+    spark = documents.sparkSession
     sample = votes(labels).withColumn("_h", hash63(seed, F.col("doc_id").cast("string"))).orderBy("_h", "doc_id").limit(most).drop("_h")
     few = F.broadcast(sample)  # at most ``most`` rows
-    rows = documents.select("doc_id", "text").filter("text is not null").join(few, "doc_id").collect()
-    rows.sort(key=lambda r: r.doc_id)
-    texts = [r.text for r in rows]
-    share = np.array([r.abusive / r.n for r in rows])
-    n = np.array([r.n for r in rows], float)
+    read = documents.select("doc_id", "text").filter("text is not null").join(few, "doc_id").select("doc_id", "text", "abusive", "n")
+    kind = read.schema["doc_id"].dataType.simpleString()
+    rows = read.mapInArrow(_labelled_terms, f"doc_id {kind}, mark long, terms array<int>, lengths array<int>, abusive long, n long").toArrow().sort_by("doc_id")
+    n = np.asarray(rows["n"]).astype(float)
+    share = np.asarray(rows["abusive"]) / np.maximum(n, 1)
     y = (share > 0.5).astype(float)
     weight = np.abs(2 * share - 1) * np.sqrt(np.minimum(n, 3))
     if not (weight[y > 0.5] > 0).any() or not (weight[y <= 0.5] > 0).any():
         return FactorizationMachine()
-    return fit(texts, y, cleaned(texts, y, weight))
+    flat = lambda c: np.concatenate([np.zeros(0, np.int32), *[np.asarray(x.flatten()) for x in rows[c].chunks]])
+    lengths = flat("lengths")
+    per = np.concatenate([np.asarray(x.value_lengths()) for x in rows["lengths"].chunks])
+    data = (flat("terms"), np.cumsum(lengths) - lengths, np.repeat(np.arange(len(y)), per).astype(np.int32))
+    fold = np.asarray(rows["mark"]) % FOLDS
+    sent = spark.sparkContext.broadcast((data, y, weight, fold))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, y, weight, fold = sent.value
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(contradicted(data, y, weight, fold == k), pa.int64())], ["number"])
+
+    wrong = [r.number for r in spark.range(0, FOLDS, 1, FOLDS).mapInArrow(check, "number long").collect()]  # at most ``most``
+    weight[wrong] = 0.0
+    return fit(data, y, weight)
 
 
 def score(documents: DataFrame, model: FactorizationMachine, *keep: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 from tallyglass.llm import abuse
-from tallyglass.llm.abuse import Terms, cleaned, document_scores, fit, segments, skeleton, spelled
+from tallyglass.llm.abuse import Terms, contradicted, document_scores, fit, segments, skeleton, spelled
 
 FILL = "the run stopped at image twelve . the score log agrees with the panel . we hashed the covers again . no rows are missing".split(" . ")
 
@@ -39,7 +39,7 @@ def test_spellings_meet():
 
 def test_learns_on_held_out_documents():
     texts, y, _ = corpus(1500, 1)
-    model = fit(texts, y, np.ones(len(y)))
+    model = fit(Terms()(texts), y, np.ones(len(y)))
     held, z, _ = corpus(600, 2)
     p = document_scores(model, Terms(), held) >= 0.5
     assert (p == (z > 0.5)).mean() > 0.97
@@ -48,24 +48,64 @@ def test_learns_on_held_out_documents():
 def test_wrong_labels_are_left_out():
     texts, y, _ = corpus(1500, 3, noise=0.05)
     truth = corpus(1500, 3)[1]
-    weight = cleaned(texts, y, np.ones(len(y)))
-    dropped = weight == 0
+    fold = np.arange(len(y)) % 3
+    dropped = np.zeros(len(y), bool)
+    for k in range(3):
+        dropped[contradicted(Terms()(texts), y, np.ones(len(y)), fold == k)] = True
     assert dropped.sum() > 20 and (y[dropped] != truth[dropped]).mean() > 0.7
 
 
-def test_interactions_matter():
-    """Two terms are harmless alone and abusive together: only the pairwise part can tell."""
-    rng = np.random.default_rng(0)
-    model = abuse.FactorizationMachine(bits=6)
-    model.seen[:] = True
-    state = {"w": np.full(64, 0.1, np.float32), "v": np.full((64, abuse.WIDTH), 0.1, np.float32), "b": 1.0}
-    combos = np.array([[1, 2], [1, 3], [4, 2], [4, 3]])
-    label = np.array([1.0, 0.0, 0.0, 1.0])
-    for _ in range(1500):
-        k = rng.permutation(4)
-        model.step(combos[k].ravel(), np.arange(0, 8, 2), label[k].astype(np.float32), np.ones(4, np.float32), state, 0.2, 0.0)
-    z = model.scores(combos.ravel(), np.arange(0, 8, 2))
-    assert ((z > 0) == (label > 0.5)).all()
+PEOPLE, BEASTS, SLURS, CHORES = [[f"{p}{i}" for i in range(12)] for p in ("folk", "beast", "vermin", "milked")]
+
+
+def apart(n, seed, crossed):
+    """Sentences whose two telling words stand in any order, with others between them.
+
+    Not crossed: people with a slur are abusive, either alone is not, which additive weights can still express. Crossed: people
+    with a slur and beasts with a chore turned on them are abusive, people with a chore and beasts with a slur are not, so that
+    no word alone tells anything.
+    """
+    rng = random.Random(seed)
+    texts, y = [], []
+    for _ in range(n):
+        who, what = rng.random() < 0.5, rng.random() < 0.5
+        said = [rng.choice(PEOPLE if who else BEASTS), rng.choice(SLURS if what else CHORES)]
+        rest = [f"w{rng.randrange(60)}" for _ in range(4)]
+        line = [said[0], *rest[:2], said[1], *rest[2:]] if rng.random() < 0.5 else [said[1], *rest, said[0]]
+        texts.append(" ".join(line) + ". " + " ".join(f"w{rng.randrange(60)}" for _ in range(8)) + ".")
+        y.append(float(who == what if crossed else who and what))
+    return texts, np.array(y)
+
+
+def held_out(crossed):
+    """Accuracy with interactions, with the fitted ones set to 0, and of the linear model."""
+    (texts, y), (held, z) = apart(3000, 1, crossed), apart(1000, 2, crossed)
+    data = Terms()(texts)
+    right = lambda m: ((document_scores(m, Terms(), held) >= 0.5) == (z > 0.5)).mean()
+    model, linear = fit(data, y, np.ones(len(y))), fit(data, y, np.ones(len(y)), width=0)
+    whole = right(model)
+    model.v[:] = 0
+    print("crossed" if crossed else "together", "interactions", whole, "set to 0", right(model), "linear", right(linear))
+    return whole, right(model), right(linear)
+
+
+def test_interactions_tell_what_words_alone_do_not():
+    whole, without, linear = held_out(True)
+    assert whole > 0.95 and without < 0.7 and linear < 0.7
+
+
+def test_words_that_are_abusive_together():
+    """The machine gets it right, and so does the linear model: such cases are no proof of the interactions."""
+    whole, _, linear = held_out(False)
+    assert whole > 0.97 and linear > 0.9
+
+
+def test_long_documents_are_sampled_by_sentence():
+    terms, starts, _ = Terms()([". ".join(f"one{i} two{i} three{i}" for i in range(400))])
+    some, lengths = abuse._sampled(terms, starts, 300)
+    assert 250 < len(some) == lengths.sum() <= 300 and set(some) <= set(terms)
+    assert abuse._sampled(terms, starts, 10**6)[0] is terms
+    assert len(abuse._sampled(terms, starts, 1)[0]) == 0
 
 
 DOCS, LABELS = "doc_id long, text string, source string, score double", "doc_id long, rater string, category string, text string"
