@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallyglass.functions.names import strip
 from tallyglass.llm.sample import hash63
-from tallyglass.shared import cut, join_facts, rank_by_hash
+from tallyglass.shared import HEAVY_KEYS, cut, join_facts, rank_by_hash
 
 #: Vocabulary of the tokenizer that measures sizes; a parameter everywhere.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -171,11 +171,14 @@ def mix(sizes: DataFrame, targets: dict[str, tuple[float | None, int]], seed: st
         rows = [(key[0], k, int(histogram["whole"].iloc[0]), take.get(k, 0)) for k in map(int, histogram["n_tokens"])]
         return pd.DataFrame(rows, columns=["source", "n_tokens", "whole", "take"])
 
-    lengths = wanted.groupBy("source", "n_tokens").agg(F.count("*").alias("n")).join(goals, "source")
+    counted = cut(wanted.groupBy("source", "n_tokens").agg(F.count("*").alias("n")), "lengths")
+    lengths = counted.join(goals, "source")
     picks = lengths.groupBy("source").applyInPandas(fit, "source string, n_tokens long, whole long, take long")
     key = F.concat_ws(":", "n_tokens", "source").alias("_key")
+    whole = counted.agg(F.sum("n")).first()[0] or 0
+    hot = [r["_key"] for r in counted.filter(F.col("n") * HEAVY_KEYS > whole).select(key).collect()]  # fewer than HEAVY_KEYS
     ranked = rank_by_hash(wanted.withColumn("_h", hash63(seed, F.col("doc_id").cast("string")) * 8), ["source", "n_tokens"], "_h", ["doc_id"])
-    met = join_facts(ranked.select("doc_id", "source", "n_tokens", "rank", key), cut(picks.select(key, "whole", "take"), "picks"), "_key", "inner")
+    met = join_facts(ranked.select("doc_id", "source", "n_tokens", "rank", key), cut(picks.select(key, "whole", "take"), "picks"), "_key", "inner", hot)
     copies = (F.col("whole") + F.when(F.col("rank") < F.col("take"), 1).otherwise(0)).cast("int")
     return met.select("doc_id", "source", "n_tokens", copies.alias("copies")).filter("copies > 0")
 

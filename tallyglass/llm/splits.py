@@ -6,19 +6,22 @@ import heapq
 import itertools
 from collections import defaultdict
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.functions.names import plain_name, plain_side
 from tallyglass.llm.families import name_families
 from tallyglass.llm.sample import hash63
-from tallyglass.shared import cut, join_facts, rank_by_hash
+from tallyglass.shared import HEAVY_KEYS, cut, join_facts, rank_by_hash
 
 #: Sizes up to this are bundled exactly; larger families by size class, see ``bundle_columns``.
 EXACT_SIZE = 64
 #: Size classes per doubling beyond ``EXACT_SIZE``, and levels of a family's label share.
 CLASSES = 8
 LEVELS = 4
+#: Weight of a side's deviation from its rows against a bundle's deviation from its own quota.
+SIDE_WEIGHT = 4
 
 
 def family_rows(manifest: DataFrame) -> DataFrame:
@@ -34,8 +37,8 @@ def family_rows(manifest: DataFrame) -> DataFrame:
     ).filter("name is not null")
 
 
-def families(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(name, family)`` and one row per family: ``family, n, n_label, smallest, low_side, high_side, salt``.
+def families(manifest: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """``(name, family)``, one row per family (``family, n, n_label, smallest, low_side, high_side, salt``) and the heavy names.
 
     Rows are first reduced to one per name with map-side partials, so a cover that holds a third of the rows shuffles once
     per task. ``low_side`` and ``high_side`` are the least and greatest side shown (null if none); ``salt`` the least
@@ -48,16 +51,18 @@ def families(manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.min("owner").alias("owner"), F.max("owner").alias("other"),
     )
     facts = cut(facts, "names")
+    whole = facts.agg(F.sum("n")).first()[0] or 0
+    hot = [r.name for r in facts.filter(F.col("n") * HEAVY_KEYS > whole).select("name").collect()]  # fewer than HEAVY_KEYS
     # names with several owners need all of their pairs; the others are known from their two extremes
     several = facts.filter("owner <> other").select("name")
-    extra = join_facts(rows.filter("owner is not null").select("name", "owner").distinct(), several, "name", "inner")
+    extra = join_facts(rows.filter("owner is not null").select("name", "owner").distinct(), several, "name", "inner", hot)
     named = name_families(facts.select("name", "owner").unionByName(extra))
     joined = facts.drop("owner", "other").join(named, "name")
     total = joined.groupBy("family").agg(
         F.sum("n").alias("n"), F.sum("n_label").alias("n_label"), F.min("smallest").alias("smallest"),
         F.min("low_side").alias("low_side"), F.max("high_side").alias("high_side"), F.min("salt").alias("salt"),
     )
-    return named, total
+    return named, total, hot
 
 
 def torn(manifest: DataFrame) -> DataFrame:
@@ -148,10 +153,10 @@ def _bellman_ford(source, graph, cap, cost, ends) -> dict:
     return dist
 
 
-def solve_quotas(bundles: list[dict], shares: dict[str, float]) -> dict[tuple, dict[str, int]]:
-    """Families of each bundle per side, keyed by ``(size_class, level)``.
+def first_flow(bundles: list[dict], shares: dict[str, float]) -> dict[tuple, dict[str, int]]:
+    """A feasible integral flow to start from: families of each bundle per side, keyed by ``(size_class, level)``.
 
-    ``bundles`` have ``size_class, level, families, rows``. From the largest families down, a bundle first gives each side
+    From the largest families down, a bundle first gives each side
     the whole part of its share of what the sides still need, so that what large families cost a side is made good by
     all smaller ones alike; the families left over (fewer than there are sides) are placed by one min-cost flow per size
     class: an arc costs what it strays from the bundle's own quota, and each further family on a side costs what it adds
@@ -202,6 +207,69 @@ def solve_quotas(bundles: list[dict], shares: dict[str, float]) -> dict[tuple, d
     return out
 
 
+def deviation(bundles: list[dict], shares: dict[str, float], quotas: dict[tuple, dict[str, int]]) -> float:
+    """The cost that ``solve_quotas`` lowers: the squared rows that sides are off, weighted ``SIDE_WEIGHT``, and the squared
+    families that bundles are off."""
+    size, x, q, off = _state(bundles, shares, quotas)
+    return float(SIDE_WEIGHT * (off**2).sum() + ((x - q) ** 2).sum())
+
+
+def _state(bundles, shares, quotas):
+    share = np.array(list(shares.values())) / sum(shares.values())
+    count = np.array([b["families"] for b in bundles], float)
+    size = np.array([b["rows"] for b in bundles], float) / count
+    x = np.array([[quotas[b["size_class"], b["level"]][s] for s in shares] for b in bundles], float)
+    return size, x, count[:, None] * share, size @ x - (size * count).sum() * share
+
+
+def solve_quotas(bundles: list[dict], shares: dict[str, float]) -> dict[tuple, dict[str, int]]:
+    """Families of each bundle per side, keyed by ``(size_class, level)``: an integral flow of low cost in one network.
+
+    ``bundles`` have ``size_class, level, families, rows``. The network holds all bundles: an arc from each to every side costs
+    the squared families that the bundle strays from its own quota, an arc from a side to the sink the squared rows that the
+    side strays from its share of all rows. From ``first_flow`` on, negative cycles of the residual network are cancelled: a family
+    moves from one side to another, alone or against a family of any other bundle that moves back. It ends where no
+    such cycle lowers the cost; the cost falls with every one, so it always ends. Of bundles of one size only the cheapest arc
+    matters, so a round looks at pairs of sizes.
+    """
+    quotas = first_flow(bundles, shares)
+    if not bundles:
+        return quotas
+    size, x, q, off = _state(bundles, shares, quotas)
+    allowed = np.array(list(shares.values())) > 0
+    sizes, of = np.unique(size, return_inverse=True)
+    step = sizes[:, None] - sizes[None, :]
+    pairs = [(s, t) for s in range(len(shares)) for t in range(len(shares)) if s != t and allowed[t]]
+    while True:
+        best, move = -1e-6, None
+        arcs = {}
+        for s, t in pairs:
+            own = np.where(x[:, s] > 0, 2 * (x[:, t] - q[:, t] - x[:, s] + q[:, s] + 1), np.inf)
+            order = np.lexsort((own, of))
+            arcs[s, t] = order[np.searchsorted(of[order], np.arange(len(sizes)))], own
+        for s, t in pairs:
+            at, own = arcs[s, t]
+            gap = off[t] - off[s]
+            alone = own[at] + SIDE_WEIGHT * 2 * sizes * (gap + sizes)
+            k = int(alone.argmin())
+            if alone[k] < best:
+                best, move = alone[k], [(at[k], s, t)]
+            if (t, s) in arcs and s < t:
+                back, own_back = arcs[t, s]
+                both = own[at][:, None] + own_back[back][None, :] + SIDE_WEIGHT * 2 * step * (gap + step)
+                both[at[:, None] == back[None, :]] = np.inf
+                k = int(both.argmin())
+                if both.flat[k] < best:
+                    i, j = divmod(k, len(sizes))
+                    best, move = both.flat[k], [(at[i], s, t), (back[j], t, s)]
+        if move is None:
+            break
+        for b, s, t in move:
+            x[b, s], x[b, t] = x[b, s] - 1, x[b, t] + 1
+            off[s], off[t] = off[s] - size[b], off[t] + size[b]
+    return {(b["size_class"], b["level"]): dict(zip(shares, map(int, row), strict=True)) for b, row in zip(bundles, x, strict=True)}
+
+
 def assign(manifest: DataFrame, shares: dict[str, float], salt: str = "strand") -> DataFrame:
     """``row_id, family, side`` for every row that belongs to a family: no family is on two sides, shares are met in rows.
 
@@ -211,7 +279,7 @@ def assign(manifest: DataFrame, shares: dict[str, float], salt: str = "strand")
     table gives no rows; a share of 0 gets no family unless rounding leaves no other side.
     """
     spark = manifest.sparkSession
-    named, total = families(manifest)
+    named, total, hot = families(manifest)
     named, sized = cut(named, "named"), cut(bundle_columns(total), "families")
     bundles = [r.asDict() for r in sized.groupBy("size_class", "level").agg(F.count("*").alias("families"), F.sum("n").alias("rows")).collect()]
     quotas = solve_quotas(bundles, shares) if bundles else {}
@@ -227,7 +295,7 @@ def assign(manifest: DataFrame, shares: dict[str, float], salt: str = "strand")
     ranked = rank_by_hash(hashed, ["size_class", "level"], "_h", ["family"])
     dealt = ranked.join(table, ["size_class", "level"]).filter("rank >= low and rank < high").select("family", F.col("new_side").alias("side"))
     sides = join_facts(named, dealt, "family", "inner")
-    return join_facts(family_rows(manifest).select("name", "row_id"), sides, "name", "inner").select("row_id", "family", "side")
+    return join_facts(family_rows(manifest).select("name", "row_id"), sides, "name", "inner", hot).select("row_id", "family", "side")
 
 
 #: Sides and their shares, as TESTDATA.md states them.

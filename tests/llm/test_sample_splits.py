@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 from collections import defaultdict
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -180,3 +181,43 @@ def test_quotas_are_integral_and_near():
             rows[s] += n * b["size_class"]
     for s, share in splits.SHARES.items():
         assert abs(rows[s] - share * sum(rows.values())) <= 3
+
+
+def random_bundles(rng, most_families):
+    sizes = rng.sample([1, 2, 3, 5, 9, 17, 40, 64, 130, 700], rng.randrange(2, 8))
+    return [{"size_class": n, "level": lv, "families": f, "rows": f * n} for n in sizes for lv in range(rng.randrange(1, 4)) for f in [rng.randrange(1, most_families)]]
+
+
+def test_one_network_costs_no_more_than_class_by_class():
+    rng = random.Random(5)
+    better = 0
+    for _ in range(60):
+        bundles = random_bundles(rng, rng.choice([3, 30, 1000]))
+        first = splits.deviation(bundles, splits.SHARES, splits.first_flow(bundles, splits.SHARES))
+        quotas = splits.solve_quotas(bundles, splits.SHARES)
+        cost = splits.deviation(bundles, splits.SHARES, quotas)
+        assert cost <= first + 1e-6 * first
+        better += cost < first * 0.999
+        for b in bundles:
+            took = quotas[b["size_class"], b["level"]]
+            assert sum(took.values()) == b["families"] and min(took.values()) >= 0
+    assert better > 20
+
+
+def test_network_against_every_allocation():
+    rng = random.Random(6)
+    near = []
+    for _ in range(40):
+        bundles = [{"size_class": n, "level": 0, "families": f, "rows": f * n} for n, f in zip(rng.sample(range(1, 30), 3), [rng.randrange(1, 5) for _ in range(3)], strict=True)]
+        keys = [(b["size_class"], 0) for b in bundles]
+        every = product(*[parts(b["families"]) for b in bundles])
+        best = min(splits.deviation(bundles, splits.SHARES, {k: dict(zip(splits.SHARES, p, strict=True)) for k, p in zip(keys, ps, strict=True)}) for ps in every)
+        near.append(splits.deviation(bundles, splits.SHARES, splits.solve_quotas(bundles, splits.SHARES)) / max(best, 1e-9))
+    print("cost against the best: median, worst, optimal of 40:", sorted(near)[20], max(near), sum(x < 1.0001 for x in near))
+    assert sum(x < 1.0001 for x in near) >= 30
+
+
+def test_a_share_of_nothing_stays_empty():
+    bundles = random_bundles(random.Random(8), 50)
+    for took in splits.solve_quotas(bundles, {"train": 1.0, "test": 0.0}).values():
+        assert took["test"] == 0
