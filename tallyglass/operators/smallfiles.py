@@ -23,7 +23,11 @@ FRAME_BYTES = 4 << 20
 
 _TOKEN = re.compile(rb'"(?:[^"\\\n\r]|\\.)*"|[{}\[\]":]|[^\s"{}\[\]:]+')
 _SPACE = re.compile(rb'("(?:[^"\\]|\\.)*")|[\s]+')
-_MEMBER = re.compile(rb'"(?:[^"\\]|\\.)*":(?:"(?:[^"\\]|\\.)*"|[^,"\[\]{}]*)')
+#: A record without inner records: one brace opens it, so the next one outside a string ends it. Strings have no line breaks.
+_FLAT = rb'\{[^{}"]*(?:"(?:[^"\\\r\n]|\\[^\r\n])*"[^{}"]*)*+\}'
+_RECORD = re.compile(_FLAT)
+_WHOLE = re.compile(rb"\s*(?:" + _FLAT + rb"\s*)+")
+_PAIR = re.compile(rb'("(?:[^"\\]|\\.)*")\s*:\s*("(?:[^"\\]|\\.)*"|[^,"\[\]{}\s]+)')
 
 RECORD_SCHEMA = "fingerprint binary, record binary"
 INDEX_SCHEMA = (
@@ -87,15 +91,35 @@ def one_line(record: bytes) -> bytes:
     return _SPACE.sub(rb"\1", record)
 
 
+def whole_records(body: bytes | None) -> list[bytes] | None:
+    """The records of a body that consists of nothing but complete records without inner ones, a record or several a line or
+    a record over several lines; None for any other body, whose boundaries ``complete_records`` has to look for.
+
+    One match over the bytes tells: such a record can't be cut off and yet end in its brace. Line breaks inside a record are
+    layout, as strings have none, and are dropped, so that a line break can end it. All other bytes stay as they are.
+    """
+    body = (body or b"").removeprefix(BOM)
+    if not _WHOLE.fullmatch(body):
+        return None
+    records = [body.strip()] if body.count(b"{") == 1 else _RECORD.findall(body)
+    return [r.translate(None, b"\r\n") for r in records]
+
+
+def joined(units: list[bytes], packed: bool = False) -> bytes:
+    """Byte-level join: whole frames as they are, text without its byte order mark and with a closing line break."""
+    if packed:
+        return b"".join(units)
+    plain = [u.removeprefix(BOM) for u in units]
+    return b"".join(u if u.endswith(b"\n") else u + b"\n" for u in plain)
+
+
 def record_fingerprint(line: bytes) -> bytes:
     """128 bits that agree for one record in any layout and any order of its top-level members."""
-    inner = line[1:-1]
-    if b"{" in inner or b"[" in inner:
-        members = _split_members(inner)
+    parts = _PAIR.split(line)
+    if b"".join(parts[::3]).translate(None, b" \t\r\n,") == b"{}":  # nothing but members with plain values
+        members = [k + b":" + v for k, v in zip(parts[1::3], parts[2::3], strict=True)]
     else:
-        members = _MEMBER.findall(inner)
-        if sum(map(len, members)) + max(0, len(members) - 1) != len(inner):
-            members = [inner]
+        members = _split_members(one_line(line)[1:-1])
     return hashlib.blake2b(b"\x00".join(sorted(members)), digest_size=16).digest()
 
 
@@ -113,20 +137,24 @@ def _split_members(inner: bytes) -> list[bytes]:
     return [*parts, inner[begin:]]
 
 
+def _lines(body: bytes | None) -> list[bytes]:
+    """Every complete record of a body as bytes without line breaks."""
+    whole = whole_records(body)
+    return [one_line(r) for r in complete_records(body)] if whole is None else whole
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()  # copies met lately in this task; emptied when large, the sorted merge below is exact
     for batch in batches:
         prints, lines = [], []
         for body in batch.column(0).cast(pa.binary()).to_pylist():
-            for record in complete_records(body):
-                line = one_line(record)
+            for line in _lines(body):
                 mark = record_fingerprint(line)
-                key = mark + zlib.crc32(line).to_bytes(4, "big")
-                if key in seen:
+                if mark in seen:
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
-                seen.add(key)
+                seen.add(mark)
                 prints.append(mark)
                 lines.append(line)
         yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array(lines, pa.binary())], ["fingerprint", "record"])
@@ -139,7 +167,7 @@ def records_of(files: DataFrame, name: str, body: str) -> DataFrame:
         for batch in batches:
             noted, lines = [], []
             for known, raw in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                found_here = [one_line(r).decode("utf-8", "replace") for r in complete_records(raw)]
+                found_here = [r.decode("utf-8", "replace") for r in _lines(raw)]
                 noted += [known] * len(found_here)
                 lines += found_here
             yield pa.RecordBatch.from_arrays([pa.array(noted, pa.string()), pa.array(lines, pa.string())], ["noted", "record"])
@@ -168,7 +196,7 @@ def _packer(folder: str, frame_bytes: int):
                 return
             if sink is None:
                 sink = system.open_output_stream(attempt)
-            plain = b"\n".join(held) + b"\n"
+            plain = joined(held)
             frame = zstandard.ZstdCompressor(level=3, write_checksum=True).compress(plain)
             sink.write(frame)
             frames.append({"offset": offset, "length": len(frame), "raw_length": len(plain), "crc32": zlib.crc32(plain), "n_records": len(held)})
@@ -208,9 +236,10 @@ _INDEX_ARROW = pa.schema([
 def compact_small_files(files: DataFrame, body: str, folder: str, target_bytes: int = TARGET_BYTES, frame_bytes: int = FRAME_BYTES) -> DataFrame:
     """Write every complete record of the bodies once to few files of about ``target_bytes`` raw; returns their index.
 
-    ``body`` is text or binary, plain or whole zstandard frames. Bodies are cut at record boundaries and joined byte for
-    byte, one record a line, into independent zstandard frames with checksums; no record is parsed. Records are the same
-    when their members are, whatever the layout or order. Copies are dropped first within a task, then exactly, by a merge
+    ``body`` is text or binary, plain or whole zstandard frames. A body of nothing but complete records, told by one match
+    over its bytes, is joined as it stands; only other bodies (cut off, arrays, inner records) are looked through for
+    boundaries. What is joined are bytes, one record a line, into independent zstandard frames with checksums; no record is
+    parsed. Records are the same when their members are, whatever the layout or order; of the copies one stays. Copies are dropped first within a task, then exactly, by a merge
     over sorted fingerprints; a record held by a third of all files therefore shuffles once per task. Each file's length
     is checked before an atomic rename, so lost executors and doubled attempts leave no partial file. The index holds
     lengths and checksums, which ``read_compacted`` verifies. Null, empty and cut-off bodies give no record; no records, no
@@ -269,14 +298,8 @@ def concatenate(files: DataFrame, path: str, body: str, target_bytes: int = TARG
 
     def join(batches):
         for (packed_, block), rows in _by_block(batches):
-            parts = []
-            for b in rows:
-                if not packed_:
-                    b = b.removeprefix(BOM)
-                    b = b if b.endswith(b"\n") else b + b"\n"
-                parts.append(b)
-            content = b"".join(parts)
-            yield pa.RecordBatch.from_pylist([{"block": block * 2 + packed_, "content": content, "n_files": len(parts), "n_bytes": len(content), "crc32": zlib.crc32(content)}])
+            content = joined(rows, packed_)
+            yield pa.RecordBatch.from_pylist([{"block": block * 2 + packed_, "content": content, "n_files": len(rows), "n_bytes": len(content), "crc32": zlib.crc32(content)}])
 
     laid = placed.select("packed", "block", "path", "b").repartition("packed", "block").sortWithinPartitions("packed", "block", "path")
     return laid.mapInArrow(join, "block long, content binary, n_files long, n_bytes long, crc32 long")

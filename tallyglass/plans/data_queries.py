@@ -69,6 +69,9 @@ WITH parents AS (SELECT {_PLAIN.format("file")} AS name, min(added_at) AS any_si
 """
 
 ORACLES = {
+    "p1_found": r"""
+WITH records AS (SELECT unnest(regexp_extract_all(body, '\{[^{}]*\}')) AS r FROM lsb_0400)
+SELECT DISTINCT r->>'$.arm' AS arm, r->>'$.file' AS file, r->>'$.sha256' AS sha256 FROM records WHERE json_valid(r)""",
     "p2_found": f"""
 SELECT row_id, 'only_manifest' AS difference FROM manifest WHERE row_id NOT IN (SELECT row_id FROM manifest_mirror)
 UNION ALL SELECT DISTINCT row_id, 'only_mirror' FROM manifest_mirror WHERE row_id NOT IN (SELECT row_id FROM manifest)

@@ -30,6 +30,22 @@ def test_boundaries(body, n):
         assert json.loads(s.one_line(record)) in (A, B) or n == 1
 
 
+def test_whole_bodies_are_told_from_others():
+    whole = [json.dumps(A), json.dumps(A, indent=2) + "\r\n", json.dumps(A) + "\n" + json.dumps(B) + "\n", "\ufeff" + json.dumps(B), json.dumps(A) + json.dumps(B), json.dumps(A | {"box": [1, 2]}, indent=1), "{}"]
+    for body in whole:
+        got = s.whole_records(body.encode())
+        assert [json.loads(r) for r in got] == [json.loads(r) for r in s.complete_records(body.encode())] and not any(b"\n" in r for r in got)
+    one = json.dumps(A).encode()
+    assert s.whole_records(one + b"\n") == [one]  # byte for byte
+    for k in range(len(json.dumps(B))):  # no cut-off body passes for whole
+        assert s.whole_records(json.dumps(B)[:k].encode()) is None
+        assert s.whole_records(json.dumps({"a": B})[:k].encode()) is None
+    for body in (json.dumps([A]), '{"a": {}}', json.dumps(A) + "{", "x" + json.dumps(A), "", None, '{"a": "' + "x" * 300_000, '{"a' * 20_000, "{ " * 50_000):
+        assert s.whole_records(body and body.encode()) is None
+    big = json.dumps({"a": "{" + "y\\" * 500_000, "b": 1}).encode()
+    assert s.whole_records(big) == [big]
+
+
 def test_zstandard_body():
     packed = zstandard.ZstdCompressor().compress(json.dumps(A).encode())
     assert len(s.complete_records(packed)) == 1
@@ -47,6 +63,8 @@ def test_fingerprint_ignores_layout_and_order():
     a = s.one_line(json.dumps(B, indent=3).encode())
     b = s.one_line(json.dumps(dict(reversed(B.items()))).encode())
     assert s.record_fingerprint(a) == s.record_fingerprint(b) != s.record_fingerprint(s.one_line(json.dumps(A).encode()))
+    spread = json.dumps(dict(reversed(B.items())), indent=3).replace("\n", "")
+    assert s.record_fingerprint(spread.encode()) == s.record_fingerprint(a)
     nested = {"a": {"x": [1, 2]}, "b": "c"}
     assert s.record_fingerprint(s.one_line(json.dumps(nested).encode())) == s.record_fingerprint(s.one_line(json.dumps(dict(reversed(nested.items())), indent=1).encode()))
 
