@@ -11,7 +11,7 @@ from tallyglass.shared import cut, heavy_keys, join_facts
 BLOCK_BITS = 32768
 BITS_PER_KEY = 12
 PROBES = 6
-#: Bound of the broadcast filter in blocks of 4 KiB. Beyond it the filter gets less selective, never wrong.
+#: Most blocks of 4 KiB that are broadcast. A larger filter is as selective, but goes to the references by a join on the block.
 MOST_BLOCKS = 32768
 
 
@@ -49,8 +49,8 @@ def might_contain(key: Column, bitmap: Column) -> Column:
 
 
 def filter_blocks_for(n_keys: int) -> int:
-    """Blocks for ``n_keys`` at ``BITS_PER_KEY``, between 1 and ``MOST_BLOCKS`` (128 MiB)."""
-    return max(1, min(MOST_BLOCKS, -(-n_keys * BITS_PER_KEY // BLOCK_BITS)))
+    """Blocks for ``n_keys`` at ``BITS_PER_KEY``, at least one."""
+    return max(1, -(-n_keys * BITS_PER_KEY // BLOCK_BITS))
 
 
 def orphans(references: DataFrame, parents: DataFrame, deletions: DataFrame, table_kinds: dict[str, str]) -> DataFrame:
@@ -61,9 +61,10 @@ def orphans(references: DataFrame, parents: DataFrame, deletions: DataFrame, tab
     kind and name has ``since <= at`` (``late`` if one comes afterwards, ``missing`` if none ever does), or if its name was
     deleted at or before ``at`` (``deleted``). Returns ``ref_table, row_key, name, at, reason``.
 
-    A broadcast Bloom filter of the parents (a bounded number of 4 KiB blocks) proves most missing ones without a shuffle;
-    what passes is verified by an exact join with each name's earliest parent and deletion, so false positives can't
-    survive. Heavy names are joined in place (see ``join_facts``). References with a null name or time are none;
+    A Bloom filter of the parents, broadcast up to ``MOST_BLOCKS`` blocks (128 MiB, some 89 million keys) and joined by block
+    beyond, proves most missing ones; each reference is probed once. What passes is verified by an exact join with each
+    name's earliest parent and deletion, proven orphans pass it by with a null key, so false positives can't
+    survive. Heavy names are spread over tasks (see ``join_facts``). References with a null name or time are none;
     parents with a null name or ``since`` and undated deletions don't count. Repeated rows change nothing; without
     parents every reference is missing. Extra columns are ignored.
     """
@@ -79,17 +80,14 @@ def orphans(references: DataFrame, parents: DataFrame, deletions: DataFrame, tab
     blocks = filter_blocks_for(known.count() * len(kinds))
     kind_of = F.create_map(*[F.lit(x) for pair in table_kinds.items() for x in pair])[F.col("ref_table")]
     wanted = F.concat_ws("\x00", kind_of, "name")
-    probed = (
-        refs.withColumn("_want", wanted)
-        .withColumn("_block", _block(F.col("_want"), blocks))
-        .join(F.broadcast(bloom_blocks(keyed, "key", blocks)), "_block", "left")  # bounded: at most MOST_BLOCKS rows of 4 KiB
-        .withColumn("_maybe", might_contain(F.col("_want"), F.col("_bitmap")))
-        .drop("_block", "_bitmap", "_want")
-    )
-    definite = probed.filter(~F.col("_maybe")).select("ref_table", "row_key", "name", "at")
-    maybe = probed.filter("_maybe").drop("_maybe")
-    facts = known.join(gone, "name", "left")
-    joined = join_facts(maybe, facts, "name", "left", heavy_keys(refs, "name"))
+    filtered = bloom_blocks(keyed, "key", blocks)
+    placed = refs.withColumn("_want", wanted).withColumn("_block", _block(F.col("_want"), blocks))
+    small = blocks <= MOST_BLOCKS
+    met = placed.join(F.broadcast(filtered), "_block", "left") if small else join_facts(placed, filtered, "_block", "left")
+    passed = F.when(might_contain(F.col("_want"), F.col("_bitmap")), F.col("name"))
+    probed = met.select("ref_table", "row_key", "name", "at", passed.alias("_key"))
+    facts = known.join(gone, "name", "left").withColumnRenamed("name", "_key")
+    joined = join_facts(probed, facts, "_key", "left", heavy_keys(refs, "name"))
     first = None
     for ref_table, kind in table_kinds.items():
         cond = F.col("ref_table") == ref_table
@@ -98,8 +96,7 @@ def orphans(references: DataFrame, parents: DataFrame, deletions: DataFrame, tab
         F.when(F.col("gone") <= F.col("at"), "deleted").when(first.isNull(), "missing").when(first > F.col("at"), "late")
     )
     checked = joined.withColumn("reason", reason).filter("reason is not null")
-    out = ["ref_table", "row_key", "name", "at", "reason"]
-    return checked.select(*out).unionByName(definite.withColumn("reason", F.lit("missing")).select(*out))
+    return checked.select("ref_table", "row_key", "name", "at", "reason")
 
 
 def per_table_and_period(found: DataFrame, period: str = "month") -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 HEAVY_KEYS = 128
 #: Counters of the frequent-items sketch. Its error is about 3.5 / SKETCH_ITEMS of the rows, far under 1 / HEAVY_KEYS.
 SKETCH_ITEMS = 4096
+#: Most tasks that the rows of one heavy key are dealt to.
+MOST_SALTS = 1024
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -63,19 +65,23 @@ def heavy_keys(df: DataFrame, key: str, most: int = HEAVY_KEYS) -> list:
 
 
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "left", hot: list | None = None) -> DataFrame:
-    """Join ``rows`` to ``facts`` (unique per ``key``) without putting a hot key's rows into one task.
+    """Join ``rows`` to ``facts`` (unique per ``key``) without putting a hot key's rows, or those without key, into one task.
 
-    Rows of heavy keys (at most ``HEAVY_KEYS`` keys, so the broadcast has at most that many rows) stay where they are and
-    meet a broadcast of their facts; the others take a shuffle join. ``how`` is ``left`` or ``inner``. Null keys match nothing.
+    Rows of heavy keys (at most ``HEAVY_KEYS`` keys) and of null keys are dealt to as many salts as there are shuffle
+    partitions, at most ``MOST_SALTS``; the facts of heavy keys, and only these, are repeated once a salt, so at most
+    ``HEAVY_KEYS * MOST_SALTS`` rows are added. It is one join: ``rows`` are made once. ``hot`` are the heavy keys where the
+    caller knows them; else a sketch finds them, which is one more pass over the key. ``how`` is ``left`` or ``inner``. Null
+    keys match nothing.
     """
     hot = heavy_keys(rows, key) if hot is None else hot
-    if not hot:
+    if not hot and how == "inner":
         return rows.join(facts, key, how)
-    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    few = F.broadcast(facts.filter(F.col(key).isin(hot)))
-    return rows.filter(is_hot).join(few, key, how).unionByName(
-        rows.filter(~is_hot).join(facts.filter(~is_hot), key, how)
-    )
+    salts = max(1, min(MOST_SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    deal = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
+    salted = rows.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), deal).otherwise(0))
+    repeated = facts.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(repeated, [key, "_salt"], how).drop("_salt")
 
 
 def rank_by_hash(rows: DataFrame, group: list[str], hash_col: str, ties: list[str], out: str = "rank", bits: int = 12) -> DataFrame:
