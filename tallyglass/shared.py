@@ -67,8 +67,8 @@ def heavy_keys(df: DataFrame, key: str, most: int = HEAVY_KEYS) -> list:
 def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "left", hot: list | None = None) -> DataFrame:
     """Join ``rows`` to ``facts`` (unique per ``key``) without putting a hot key's rows, or those without key, into one task.
 
-    Rows of heavy keys (at most ``HEAVY_KEYS`` keys) and of null keys are dealt to as many salts as there are shuffle
-    partitions, at most ``MOST_SALTS``; the facts of heavy keys, and only these, are repeated once a salt, so at most
+    Rows of heavy keys (at most ``HEAVY_KEYS`` keys) and of null keys are dealt to four salts a shuffle partition, at most
+    ``MOST_SALTS``, by a hash of the row and its input partition, which is the same when a lost task runs again; the facts of heavy keys, and only these, are repeated once a salt, so at most
     ``HEAVY_KEYS * MOST_SALTS`` rows are added. It is one join: ``rows`` are made once. ``hot`` are the heavy keys where the
     caller knows them; else a sketch finds them, which is one more pass over the key. ``how`` is ``left`` or ``inner``. Null
     keys match nothing.
@@ -76,7 +76,7 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, how: str = "left", h
     hot = heavy_keys(rows, key) if hot is None else hot
     if not hot and how == "inner":
         return rows.join(facts, key, how)
-    salts = max(1, min(MOST_SALTS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    salts = max(1, min(MOST_SALTS, 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
     deal = F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
     salted = rows.withColumn("_salt", F.when(is_hot | F.col(key).isNull(), deal).otherwise(0))
