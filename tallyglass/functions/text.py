@@ -12,6 +12,9 @@ LICENCES = {
     "cc0": "CC0-1.0", "cc0-1.0": "CC0-1.0", "cc0 1.0": "CC0-1.0", "cc by 4.0": "CC-BY-4.0", "cc-by-4.0": "CC-BY-4.0", "cc by-sa 4.0": "CC-BY-SA-4.0",
     "cc-by-sa-4.0": "CC-BY-SA-4.0", "cc by sa 4.0": "CC-BY-SA-4.0", "public domain": "Public domain", "pd": "Public domain",
 }
+#: Parts of a licence's name that plain attribution doesn't cover, and how names begin that oblige to nothing.
+UNCOVERED_PARTS = ("-sa", "share", "nc", "noncommercial", "non-commercial", "nd", "noderiv", "no-deriv", "gfdl")
+FREE_STARTS = ("cc0", "public-domain", "no-rights", "copyrighted-free-use")
 #: Bands of film speed by their lower bound.
 ISO_BANDS = {"base": 0, "low": 200, "high": 800, "extreme": 3200}
 
@@ -52,12 +55,12 @@ def canonical_licence(licence: Column | str) -> Column:
 
 def obligation(licence: Column | str) -> Column:
     """``none`` for dedications, ``attribution`` for plain attribution licences, else ``uncovered`` (share-alike, no
-    derivatives, non-commercial, unknown); null is uncovered."""
-    low = F.lower(canonical_licence(licence))
-    return (
-        F.when(low.rlike("(?:-sa|-nd|-nc|gfdl|gpl)"), "uncovered").when(low.startswith("cc0") | low.isin("public domain"), "none")
-        .when(low.startswith("cc-by"), "attribution").otherwise("uncovered")
-    )
+    derivatives, non-commercial, unknown); null is uncovered. Blanks count as hyphens, so any version's spelling is known."""
+    low = F.replace(F.lower(canonical_licence(licence)), F.lit(" "), F.lit("-"))
+    free = None
+    for start in FREE_STARTS:
+        free = low.startswith(start) if free is None else free | low.startswith(start)
+    return F.when(low.rlike("|".join(UNCOVERED_PARTS)), "uncovered").when(free, "none").when(low.startswith("cc-by"), "attribution").otherwise("uncovered")
 
 
 def arm_key(tool: Column | str, rate: Column | str) -> Column:

@@ -255,6 +255,15 @@ def _refined(fits: np.ndarray, curve: np.ndarray, pos: np.ndarray, neg: np.ndarr
     return np.stack([a, b], 1), done
 
 
+def rank_area(scores: np.ndarray, labels: np.ndarray) -> float:
+    """Area under the curve from the sum of the positives' mean ranks, ties counting half; NaN where a class is empty."""
+    values, where, count = np.unique(np.asarray(scores, float), return_inverse=True, return_counts=True)
+    labels = np.asarray(labels, bool)
+    ranks = (np.cumsum(count) - (count - 1) / 2)[where]
+    n, m = labels.sum(), (~labels).sum()
+    return float((ranks[labels].sum() - n * (n + 1) / 2) / (n * m)) if n and m else math.nan
+
+
 def fan_out(cells: DataFrame, group: list[str], draws: int, kernel, schema: str) -> DataFrame:
     """Run ``kernel(rows, draw) -> dict`` for every cell and draw, each in its own task group.
 

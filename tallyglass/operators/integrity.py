@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyglass.shared import cut
+
 
 def two_way(left: DataFrame, right: DataFrame, key: str, digest: str) -> DataFrame:
     """``key, status``: ``left-only``, ``right-only``, ``mismatch`` or ``same``; keys must be unique on either side."""
@@ -39,20 +41,21 @@ def uniqueness(rows: DataFrame, columns: list[str]) -> DataFrame:
 def corpus_digest(rows: DataFrame, ident: str, digest: str, per_block: int = 4096) -> DataFrame:
     """One row: ``n, digest`` of a corpus in the order of its ids; null if it is empty or a row has no digest.
 
-    A tree of SHA-256: ids are dealt to ranges of the hash space so that no task holds more than a block, each block hashes
-    its ``id\\0digest\\n`` lines in order, and the root hashes the blocks' digests in order. The same set of rows has
-    the same digest on every run and partitioning.
+    A tree of SHA-256: each block of ``per_block`` rows hashes its ``id\\0digest\\n`` lines in order, and so on with the blocks'
+    digests until one block is left, so no task holds more than a block. The same set of rows has the same digest on every run
+    and partitioning.
     """
     from tallyglass.operators.assign import dense_position
 
     placed = dense_position(rows.select(F.col(ident).alias("i"), F.col(digest).alias("d")), "i")
-    blocks = placed.groupBy(F.floor(F.col("position") / per_block).alias("block")).agg(
-        F.count("*").alias("n"), F.count("d").alias("known"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", F.concat("i", F.lit("\x00"), "d", F.lit("\n")).alias("line")))), lambda s: s["line"]), ""), 256).alias("h"),
-    )
-    # the root sees one hash per block: n / per_block of them
-    root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "h"))), lambda s: s["h"]), ""), 256)
-    return blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.when((F.sum("n") > 0) & (F.sum("n") == F.sum("known")), root).alias("digest"))
+    level = placed.select("position", F.concat("i", F.lit("\x00"), "d", F.lit("\n")).alias("line"), F.lit(1).cast("long").alias("n"), F.when(F.col("d").isNotNull(), 1).otherwise(0).cast("long").alias("known"))
+    while True:
+        lines = F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda s: s["line"])
+        level = cut(level.groupBy(F.floor(F.col("position") / per_block).alias("position")).agg(F.sha2(F.array_join(lines, ""), 256).alias("line"), F.sum("n").alias("n"), F.sum("known").alias("known")), "level")
+        if level.count() <= per_block:
+            break
+    root = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "line"))), lambda s: s["line"]), ""), 256)
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.when((F.sum("n") > 0) & (F.sum("n") == F.sum("known")), root).alias("digest"))
 
 
 #: Members of a result that don't enter its seal.

@@ -14,10 +14,17 @@ def uniform(column: Column | str) -> Column:
     return F.when(F.count(c) == 0, "unstated").when(F.min(c) == F.max(c), F.min(c).cast("string")).otherwise("mixed")
 
 
-def examples(column: Column | str, most: int = 3) -> Column:
-    """Aggregate: the ``most`` smallest distinct values; partial states hold no more than that many."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.slice(F.array_sort(F.collect_set(c)), 1, most)
+def examples(rows: DataFrame, group: str, column: str, most: int = 3) -> DataFrame:
+    """``group, examples``: the ``most`` smallest distinct values of each group, in order; null values are none.
+
+    Values are made distinct with map-side partials and each task keeps the first ``most`` of a group before the shuffle (the
+    engine's limit of ranked groups), so no buffer grows with a group.
+    """
+    from pyspark.sql import Window as W
+
+    each = rows.filter(F.col(column).isNotNull()).select(group, F.col(column).alias("_x")).distinct()
+    first = each.withColumn("_n", F.row_number().over(W.partitionBy(group).orderBy("_x"))).filter(F.col("_n") <= most)
+    return first.groupBy(group).agg(F.array_sort(F.collect_list("_x")).alias("examples"))
 
 
 def with_cover(listed: DataFrame) -> DataFrame:

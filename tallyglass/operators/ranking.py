@@ -6,7 +6,7 @@ never ordered globally; cumulative counts run over distinct scores in ranges (``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyglass.shared import cut, running_totals
@@ -165,3 +165,29 @@ def refusal(requests: DataFrame, scores: str = "scores", labels: str = "labels",
         .otherwise("ok")
     )
     return requests.withColumn("status", status)
+
+
+def refusal_of_rows(rows: DataFrame, request: str, order: str, budgets: DataFrame, drop_errors: Column | None = None, score: str = "score", label: str = "label") -> DataFrame:
+    """``request, status`` as ``refusal`` gives, of requests held as rows, whatever their number.
+
+    Scores and labels are the rows of a request in ``order`` (unique within it). Where ``drop_errors`` holds, rows without score
+    are left out of the scores and the labels are cut to as many. ``budgets``: ``request, budgets`` (array), one row each.
+    Nothing is collected: places are running counts over ranges, the rest are conditional counts.
+    """
+    drop = F.lit(False) if drop_errors is None else drop_errors
+    slim = rows.select(request, order, score, label, F.lit(1).cast("long").alias("_one"))
+    placed = running_totals(slim, [request], order, {"_place": "_one"}).withColumn("_drop", drop)
+    size = cut(placed, "placed")
+    counts = size.groupBy(request).agg(F.count(score).alias("_known"), F.count("*").alias("_all"), F.max("_drop").alias("_cut"))
+    n = F.when(F.col("_cut"), F.col("_known")).otherwise(F.col("_all"))
+    bad = F.col(score).isNull() & ~F.col("_cut") | F.coalesce(F.isnan(score), F.lit(False))
+    used = F.col("_place") <= n
+    per = size.join(counts, request).groupBy(request).agg(
+        F.max(n).alias("_n"), F.count_if(bad).alias("_bad"), F.count_if(used & F.col(label)).alias("_pos"), F.count_if(used & ~F.col(label)).alias("_neg")
+    )
+    b = F.col("budgets")
+    status = (
+        F.when(F.col("_n") == 0, "empty").when(F.col("_bad") > 0, "not-a-number").when((F.col("_pos") == 0) | (F.col("_neg") == 0), "one-sided")
+        .when(F.exists(b, lambda x: F.isnan(x) | (x < 0) | (x > 1)), "budget-not-a-rate").when(F.size(F.array_distinct(b)) != F.size(b), "duplicate-budget").otherwise("ok")
+    )
+    return per.join(budgets, request).select(request, status.alias("status"))

@@ -22,8 +22,8 @@ def listed(spark, folder) -> DataFrame:
         F.coalesce(plain_name("source_png"), plain_name("file")).alias("cover"), plain_digest("sha256").alias("digest"), plain_digest("clean_sha256").alias("clean_digest"),
         plain_side("split").alias("side"), "tier_order", "licence", "uploader",
     )
-    first = rows.groupBy("name").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "name"]), "row_id").alias("r"))
-    return first.select("name", "r.*")
+    # one aggregate a column: those that a query doesn't use are neither read nor shuffled
+    return rows.groupBy("name").agg(*[F.min("row_id").alias("row_id") if c == "row_id" else F.min_by(c, "row_id").alias(c) for c in rows.columns if c != "name"])
 
 
 def panel(spark, folder) -> DataFrame:

@@ -36,10 +36,10 @@ def tier_density_check(spark, folder):
 
 
 def tier_names(spark, folder):
-    sizes = spark.createDataFrame([(200,), (1000,), (10000,), (100000,), (77,)], "size int")
-    n = listed(spark, folder).filter("not stego and tier_order is not null").select("tier_order")
-    held = sizes.join(n, F.col("tier_order") < F.col("size"), "left").groupBy("size").agg(F.count("tier_order").alias("n_covers"))
-    return held.select("size", assign.tier_name("size").alias("tier"), "n_covers")
+    sizes = [200, 1000, 10000, 100000, 77]
+    held = listed(spark, folder).filter("not stego").agg(*[F.count_if(F.col("tier_order") < n).alias(f"n{n}") for n in sizes])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("size"), F.col(f"n{n}").alias("n_covers")) for n in sizes]))
+    return held.select(each.alias("e")).select("e.size", assign.tier_name("e.size").alias("tier"), "e.n_covers")
 
 
 def tier_order_assigned(spark, folder):
@@ -98,7 +98,9 @@ def split_leaks(spark, folder):
 def violations(spark, folder):
     pairs = pairing.with_cover(cut(listed(spark, folder), "listed"))
     kind = F.when(F.col("cover_row").isNull(), "no-cover").when(F.col("side") != F.col("cover_side"), "split-leak").when(F.col("width") != F.col("cover_width"), "size")
-    return pairs.withColumn("violation", kind).filter("violation is not null").groupBy("violation").agg(F.count("*").alias("n"), F.array_join(pairing.examples("name"), ",").alias("examples"))
+    found = cut(pairs.select(kind.alias("violation"), "name").filter("violation is not null"), "violations")
+    shown = pairing.examples(found, "violation", "name").select("violation", F.array_join("examples", ",").alias("examples"))
+    return found.groupBy("violation").agg(F.count("*").alias("n")).join(shown, "violation")
 
 
 def pairing_verdict(spark, folder):

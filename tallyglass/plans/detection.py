@@ -99,15 +99,11 @@ def position_join_coalesce(spark, folder):
 
 def metrics_refusal_status(spark, folder):
     """Requests made of the panel per image batch, and why any can't be ranked."""
-    rows = scored(spark, folder)
-    requests = rows.groupBy(F.pmod("panel_id", F.lit(50)).alias("request")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("panel_id", "aletheia_rs"))), lambda x: x["aletheia_rs"]).alias("scores"),
-        F.transform(F.array_sort(F.collect_list(F.struct("panel_id", "stego"))), lambda x: x["stego"]).alias("labels"),
-    )
-    shaped = requests.withColumn("budgets", F.when(F.col("request") % 7 == 0, F.array(F.lit(0.1), F.lit(0.1))).when(F.col("request") % 5 == 0, F.array(F.lit(1.5))).otherwise(F.array(F.lit(0.1))))
-    shaped = shaped.withColumn("scores", F.when(F.col("request") % 3 == 0, F.filter("scores", lambda x: x.isNotNull())).otherwise(F.col("scores")))
-    shaped = shaped.withColumn("labels", F.when(F.col("request") % 3 == 0, F.slice("labels", 1, F.size("scores"))).otherwise(F.col("labels")))
-    return ranking.refusal(shaped).select("request", "status")
+    request = F.pmod("panel_id", F.lit(50))
+    rows = scored(spark, folder).select(request.alias("request"), "panel_id", F.col("aletheia_rs").alias("score"), F.col("stego").alias("label"))
+    budget = F.when(F.col("id") % 7 == 0, F.array(F.lit(0.1), F.lit(0.1))).when(F.col("id") % 5 == 0, F.array(F.lit(1.5))).otherwise(F.array(F.lit(0.1)))
+    asked = spark.range(50).select(F.col("id").alias("request"), budget.alias("budgets"))
+    return ranking.refusal_of_rows(rows, "request", "panel_id", asked, F.col("request") % 3 == 0)
 
 
 def error_rows(spark, folder):

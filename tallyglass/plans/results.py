@@ -218,9 +218,7 @@ def ensemble_votes(spark, folder):
         if min(y[test].sum(), (~y[test]).sum(), y[~test].sum(), (~y[~test]).sum()) < 2:
             return {"n_test": int(test.sum()), "auc": None}
         votes = calibrate.FisherEnsemble(learners=11, sizes=(1, 2, 3), seed=seed).fit(x[~test], y[~test]).decision(x[test])
-        pos, neg = votes[y[test]], votes[~y[test]]
-        auc = float(((pos[:, None] > neg).sum() + 0.5 * (pos[:, None] == neg).sum()) / (len(pos) * len(neg)))
-        return {"n_test": int(test.sum()), "auc": round(auc, 9)}
+        return {"n_test": int(test.sum()), "auc": round(calibrate.rank_area(votes, y[test]), 9)}
 
     from tallyglass.operators.assign import hash_fold
     from tallyglass.plans.base import DETECTORS, scored

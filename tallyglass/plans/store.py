@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyglass.functions import text as T
-from tallyglass.functions.names import plain_name
+from tallyglass.functions.names import plain_digest, plain_name
 from tallyglass.operators import integrity, pairing, prints
-from tallyglass.plans.base import LISTED_SQL, PLAIN, listed
+from tallyglass.plans.base import DIGEST, LISTED_SQL, PLAIN, listed
 from tallyglass.shared import cut, join_facts
 from tallyglass.sources.tables import table
 
@@ -56,10 +56,10 @@ def texture_gate(spark, folder):
 
 
 def digest_drift(spark, folder):
-    rows = cut(listed(spark, folder), "listed")
-    recorded = rows.filter("stego and clean_digest is not null").select(F.col("name").alias("stego_name"), "cover", "clean_digest")
-    actual = rows.filter("not stego").select(F.col("name").alias("cover"), F.col("digest").alias("actual"))
-    return join_facts(recorded, actual, "cover", "inner").filter("clean_digest <> actual").select("stego_name", "clean_digest", "actual")
+    """Rows whose digest in the second system is not the one recorded here, spellings aside."""
+    recorded = table(spark, folder, "manifest").select("row_id", plain_digest("sha256").alias("digest"))
+    actual = table(spark, folder, "manifest_mirror").select("row_id", plain_digest("sha256").alias("digest")).distinct()
+    return integrity.drift(recorded, actual, "row_id", "digest")
 
 
 def provenance(spark, folder):
@@ -109,10 +109,11 @@ def licence_summary(spark, folder):
 def attribution_share(spark, folder):
     clean = listed(spark, folder).filter("not stego").withColumn("o", T.obligation("licence"))
     rank = F.when(F.col("o") == "uncovered", 2).when(F.col("o") == "attribution", 1).otherwise(0)
-    return clean.agg(
-        F.count("*").alias("n"), F.count_if(F.col("o") == "attribution").alias("n_attribution"), F.round(100 * F.count_if(F.col("o") == "attribution") / F.count("*"), 1).alias("percent"),
-        F.max(rank).alias("strictest"), F.array_join(pairing.examples(F.when(F.col("o") == "uncovered", T.canonical_licence("licence")), 50), ",").alias("uncovered"),
-    )
+    each = cut(clean.groupBy(T.canonical_licence("licence").alias("licence"), "o", rank.alias("rank")).agg(F.count("*").alias("n")), "licences")
+    covered = F.sum(F.when(F.col("o") == "attribution", F.col("n")).otherwise(0))
+    total = each.agg(F.sum("n").alias("n"), covered.alias("n_attribution"), F.round(100 * covered / F.sum("n"), 1).alias("percent"), F.max("rank").alias("strictest"), F.lit(0).alias("one"))
+    shown = pairing.examples(each.filter("o = 'uncovered'").withColumn("one", F.lit(0)), "one", "licence", 50).select("one", F.array_join("examples", ",").alias("uncovered"))
+    return total.join(shown, "one", "left").select("n", "n_attribution", "percent", "strictest", F.coalesce("uncovered", F.lit("")).alias("uncovered"))
 
 
 def licence_cross_check(spark, folder):
@@ -157,14 +158,20 @@ QUERIES = {f.__name__: f for f in (
 _PAIRS = """pairs AS (SELECT least(a.sha256, b.sha256) AS "left", greatest(a.sha256, b.sha256) AS "right", bit_count(xor(a.dhash, b.dhash))::INT AS distance, bit_count(xor(a.phash, b.phash))::INT AS other
 FROM images a JOIN images b ON a.sha256 < b.sha256 AND bit_count(xor(a.dhash, b.dhash)) <= 6)"""
 _LOW = "regexp_replace(replace(lower(trim({0})), '_', ' '), '\\s+', ' ', 'g')"
-_CANON = ("coalesce(MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in T.LICENCES.items()) + "}[" + _LOW + "], trim({0}))")
+# written out apart from the functions under test
+_CANON = f"""CASE WHEN {_LOW} IN ('cc0', 'cc0-1.0', 'cc0 1.0') THEN 'CC0-1.0' WHEN {_LOW} IN ('cc by 4.0', 'cc-by-4.0') THEN 'CC-BY-4.0'
+WHEN {_LOW} IN ('cc by-sa 4.0', 'cc-by-sa-4.0', 'cc by sa 4.0') THEN 'CC-BY-SA-4.0' WHEN {_LOW} IN ('public domain', 'pd') THEN 'Public domain' ELSE trim({{0}}) END"""
 
 
 def _canon(c: str) -> str:
     return _CANON.replace("{0}", c)
 
 
-_OBL = "CASE WHEN regexp_matches(lower({0}), '(?:-sa|-nd|-nc|gfdl|gpl)') THEN 'uncovered' WHEN lower({0}) LIKE 'cc0%' OR lower({0}) = 'public domain' THEN 'none' WHEN lower({0}) LIKE 'cc-by%' THEN 'attribution' ELSE 'uncovered' END"
+_HYPHENED = "replace(lower(trim({0})), ' ', '-')"
+_OBL = f"""CASE WHEN contains({_HYPHENED}, '-sa') OR contains({_HYPHENED}, 'share') OR contains({_HYPHENED}, 'nc') OR contains({_HYPHENED}, 'nd') OR contains({_HYPHENED}, 'noderiv')
+OR contains({_HYPHENED}, 'no-deriv') OR contains({_HYPHENED}, 'non-commercial') OR contains({_HYPHENED}, 'gfdl') THEN 'uncovered'
+WHEN starts_with({_HYPHENED}, 'cc0') OR starts_with({_HYPHENED}, 'public-domain') OR starts_with({_HYPHENED}, 'no-rights') OR starts_with({_HYPHENED}, 'copyrighted-free-use') THEN 'none'
+WHEN starts_with({_HYPHENED}, 'cc-by') THEN 'attribution' ELSE 'uncovered' END"""
 _RULES = {
     "file is not a plain name": r"NOT regexp_full_match(file, '[^/\\\x00-\x1f\x7f]+')", "sha256 is not 64 lower hex digits": "NOT regexp_full_match(sha256, '[0-9a-f]{64}')",
     "size is not positive": "width <= 0 OR height <= 0", "crop box has not four numbers": "len(crop_box) <> 4",
@@ -179,7 +186,7 @@ ORACLES = {
     "near_dup_pairs": f'WITH {_PAIRS} SELECT "left", "right", distance FROM pairs',
     "hamming_profile": f"WITH {_PAIRS} SELECT distance, other, count(*) AS n FROM pairs GROUP BY 1, 2",
     "texture_gate": "SELECT source, CASE WHEN texture IS NULL THEN 'unknown' WHEN texture < 1 THEN 'refused' WHEN texture < 4 THEN 'low' ELSE 'ok' END AS gate, count(*) AS n, round(avg(texture), 6) AS mean_texture FROM images GROUP BY 1, 2",
-    "digest_drift": f"WITH {LISTED_SQL} SELECT s.name AS stego_name, s.clean_digest, c.digest AS actual FROM listed s JOIN listed c ON c.name = s.cover AND NOT c.stego WHERE s.stego AND s.clean_digest <> c.digest",
+    "digest_drift": f"SELECT DISTINCT m.row_id, {DIGEST.format('m.sha256')} AS recorded, {DIGEST.format('r.sha256')} AS actual FROM manifest m JOIN manifest_mirror r USING (row_id) WHERE {DIGEST.format('m.sha256')} <> {DIGEST.format('r.sha256')}",
     "provenance": f"""WITH {LISTED_SQL} SELECT s.arm, count(*) AS n, count(*) FILTER (WHERE s.clean_digest IS NULL) AS unstamped, count(*) FILTER (WHERE c.digest IS NULL) AS unresolved,
 count(*) FILTER (WHERE s.clean_digest <> c.digest) AS differ FROM listed s LEFT JOIN listed c ON c.name = s.cover AND NOT c.stego WHERE s.stego GROUP BY 1""",
     "two_way_integrity": f"""WITH {LISTED_SQL}, a AS (SELECT digest AS sha256, min(width) AS w FROM listed WHERE NOT stego GROUP BY 1)

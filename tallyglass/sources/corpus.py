@@ -5,10 +5,12 @@ from __future__ import annotations
 import io
 import tarfile
 import tomllib
+import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,8 +27,9 @@ MOST_RECORD_BYTES = 256 << 10
 MOST_DEPTH = 32
 
 
-def _files(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _files(spark: SparkSession, root: str, names: str | None = None) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    return (reader if names is None else reader.option("pathGlobFilter", names)).load(root)
 
 
 def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
@@ -36,11 +39,15 @@ def scan_corpus(spark: SparkSession, root: str) -> DataFrame:
     images for one record, an unreadable or oversized record, or a path too deep. The image's bytes are hashed where
     they are read and not kept. The role is stated, else follows from the tool (``clean`` or not), else from an arm.
     """
-    listed = _files(spark, root).withColumn("name", F.substring_index("path", "/", -1)).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
-    both = listed.select("folder", stem("name").alias("stem"), "name", "length", "content", (F.coalesce(extension("name"), F.lit("")) == "json").alias("is_record"), "path")
-    images = both.filter("not is_record").groupBy("folder", "stem").agg(F.min("name").alias("image"), F.count("*").alias("n_images"), F.min(F.sha2("content", 256)).alias("actual"))
+    def named(names: str | None) -> DataFrame:
+        files = _files(spark, root, names).withColumn("name", F.substring_index("path", "/", -1))
+        return files.withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).withColumn("stem", stem("name"))
+
+    # records are found by their name alone, so no image is read for them
+    others = named(None).filter(F.coalesce(extension("name"), F.lit("")) != "json")
+    images = others.groupBy("folder", "stem").agg(F.min("name").alias("image"), F.count("*").alias("n_images"), F.min(F.sha2("content", 256)).alias("actual"))
     text = F.when(F.col("length") <= MOST_RECORD_BYTES, F.decode("content", "UTF-8"))
-    records = both.filter("is_record").select("folder", "stem", F.col("length").alias("record_bytes"), F.from_json(text, SAMPLE).alias("record"), (F.try_parse_json(text).isNull()).alias("broken"))
+    records = named("*.[jJ][sS][oO][nN]").select("folder", "stem", F.col("length").alias("record_bytes"), F.from_json(text, SAMPLE).alias("record"), (F.try_parse_json(text).isNull()).alias("broken"))
     pairs = images.join(records, ["folder", "stem"], "full")
     r = F.col("record")
     blank = lambda c: F.when(F.trim(c) != "", F.trim(c))
@@ -101,25 +108,56 @@ def read_tar_members(spark: SparkSession, path: str, suffix: str = "") -> DataFr
 
 
 def write_tar_shards(files: DataFrame, folder: str, position: str, name: str, content: str, per_shard: int) -> DataFrame:
-    """Pack files into tar shards of ``per_shard`` by dense position, with pinned metadata; returns ``shard, n, sha256``."""
-    import hashlib
+    """Pack files into tar shards of ``per_shard`` by dense position, with pinned metadata; returns ``shard, n, sha256``.
 
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
-            for n, data in zip(pdf.sort_values(position)[name], pdf.sort_values(position)[content], strict=True):
-                info = tarfile.TarInfo(n)
+    A shard streams to the shared folder under a name of its own attempt and is renamed when it is whole, so a lost or doubled
+    task leaves no half shard. A task holds the members of one Arrow batch.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import hashlib
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+
+        class Sink(io.RawIOBase):
+            def __init__(self, key: int):
+                self.path = f"{base}/shard-{key:06d}.tar"
+                self.part = f"{base}/.shard-{key:06d}.{uuid.uuid4().hex[:8]}"
+                self.out, self.digest = system.open_output_stream(self.part), hashlib.sha256()
+
+            def write(self, data) -> int:
+                data = bytes(data)
+                self.digest.update(data)
+                self.out.write(data)
+                return len(data)
+
+        def done() -> pa.RecordBatch:
+            tar.close()
+            sink.out.close()
+            system.move(sink.part, sink.path)
+            return pa.RecordBatch.from_pylist([{"shard": key, "n": n, "sha256": sink.digest.hexdigest()}])
+
+        key, n, tar, sink = None, 0, None, None
+        for batch in batches:
+            for shard, name_, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if shard != key:
+                    if key is not None:
+                        yield done()
+                    key, n, sink = shard, 0, Sink(shard)
+                    tar = tarfile.open(fileobj=sink, mode="w|", format=tarfile.USTAR_FORMAT)
+                data = bytes(data or b"")
+                info = tarfile.TarInfo(name_)
                 info.size, info.mtime, info.mode = len(data), 0, 0o644
                 tar.addfile(info, io.BytesIO(data))
-        path = Path(folder.removeprefix("file://")) / f"shard-{key[0]:06d}.tar"
-        path.parent.mkdir(parents=True, exist_ok=True)
-        part = path.with_suffix(".part")
-        part.write_bytes(out.getvalue())
-        part.rename(path)
-        return pd.DataFrame([(key[0], len(pdf), hashlib.sha256(out.getvalue()).hexdigest())], columns=["shard", "n", "sha256"])
-
-    sharded = files.select(F.floor(F.col(position) / per_shard).cast("long").alias("shard"), position, name, content)
-    return sharded.groupBy("shard").applyInPandas(pack, "shard long, n long, sha256 string")
+                n += 1
+        if key is not None:
+            yield done()
+
+    sharded = files.select(F.floor(F.col(position) / per_shard).cast("long").alias("shard"), F.col(position).alias("position"), F.col(name).alias("name"), F.col(content).alias("content"))
+    return sharded.repartition("shard").sortWithinPartitions("shard", "position").mapInArrow(pack, "shard long, n long, sha256 string")
 
 
 def explode_request(requests: DataFrame, scores: str = "scores", labels: str = "labels") -> DataFrame:

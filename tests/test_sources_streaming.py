@@ -88,3 +88,20 @@ def test_stateful_streams(spark, tmp_path):
     assert counts.agg(F.sum("n")).first()[0] == 60
     states = streams.arm_states(spark.createDataFrame([("a", "queued", 1), ("a", "done", 3), ("b", "running", 2)], "arm string, state string, at int"))
     assert {r.arm: r.state for r in states.collect()} == {"a": "done", "b": "running"}
+
+
+def test_tar_shards_are_whole_and_repeatable(spark):
+    from pathlib import Path
+
+    from tallyglass.shared import new_folder
+    from tallyglass.sources import corpus
+
+    rows = spark.createDataFrame([(i, f"{i:05d}.png", bytes([i % 251]) * (i % 7 * 1000)) for i in range(25)] + [(25, "none.png", None)], "position long, name string, content binary")
+    folder = new_folder(spark, "tar")
+    first = sorted(map(tuple, corpus.write_tar_shards(rows, folder, "position", "name", "content", 10).collect()))
+    assert [r[:2] for r in first] == [(0, 10), (1, 10), (2, 6)]
+    assert sorted(p.name for p in Path(folder.removeprefix("file://")).iterdir() if p.suffix == ".tar") == [f"shard-{k:06d}.tar" for k in range(3)]
+    again = sorted(map(tuple, corpus.write_tar_shards(rows.repartition(5), new_folder(spark, "tar"), "position", "name", "content", 10).collect()))
+    assert again == first
+    members = {r.member: r.bytes for r in corpus.read_tar_members(spark, folder + "/*.tar").collect()}
+    assert members == {f"{i:05d}.png": i % 7 * 1000 for i in range(25)} | {"none.png": 0}
