@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyglass.shared import cut
+
 BIN_BITS = 12
 
 
@@ -36,11 +38,11 @@ def frozen_bottom_k(rows: DataFrame, batch: str, identity: Column, order: str, r
         identity.alias("identity"),
         F.struct(F.col(batch).alias("batch"), F.coalesce(F.col(order).cast("long"), far).alias("o"), F.col(row_id).alias("row_id")).alias("first"),
     ).filter(F.col("identity").isNotNull() & F.col("first.batch").isNotNull())
-    firsts = listed.groupBy("identity").agg(F.min("first").alias("first")).select(
+    firsts = cut(listed.groupBy("identity").agg(F.min("first").alias("first")).select(
         "identity", F.col("first.batch").alias("batch"),
         F.when(F.col("first.o") != far, F.col("first.o")).alias("order"), F.col("first.row_id").alias("row_id"),
         hash63(salt, "identity").alias("hash"),
-    ).withColumn("_bin", F.shiftright("hash", 60 - BIN_BITS))
+    ).withColumn("_bin", F.shiftright("hash", 60 - BIN_BITS)), "firsts")  # read for the counts and for the choice
     counts = firsts.groupBy("batch", "_bin").agg(F.count("*").alias("n"))
     upto = W.partitionBy("batch").orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
     bins = counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn(
