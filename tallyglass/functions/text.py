@@ -191,3 +191,14 @@ def version_token(text: Column | str) -> Column:
     """The first token that looks like a version number."""
     got = F.regexp_extract(_c(text), r"(?<![\w.])v?(\d+(?:\.\d+)+(?:[-+][0-9A-Za-z.]+)?)(?![\w])", 1)
     return F.when(got != "", got)
+
+
+def cover_of_path(path: Column | str) -> Column:
+    """The cover a file came from, by its name, at whatever depth it lies."""
+    return F.regexp_extract(_c(path), r"[^/]*$", 0)
+
+
+def arm_of_path(path: Column | str) -> Column:
+    """The folders a file lies in, joined, as its arm; a file in none is clean."""
+    folders = F.regexp_replace(_c(path), r"/?[^/]*$", "")
+    return F.when(folders == "", "clean").otherwise(folders)
