@@ -72,7 +72,8 @@ def nearest_names(spark, folder):
 
 
 def one_answer_columns(spark, folder):
-    cells = table(spark, folder, "panel").select(F.coalesce("aletheia_error", F.lit("none")).alias("column"), F.col("zsteg").cast("string").alias("cell"))
+    """Covers whose images all state one and the same side."""
+    cells = listed(spark, folder).filter("stego").select(F.col("cover").alias("column"), F.col("side").alias("cell"))
     return report.one_answer(cells, "column", "cell")
 
 
@@ -255,7 +256,7 @@ lambda i: exp(lgamma(above + below + 1) - lgamma(i + 1) - lgamma(above + below -
     "report_rows": _REPORT + "SELECT detector, arm, embedder, arm_text, rate_key, auc, low, high, n_pos, n_neg, n_error, flags, count(*) OVER (PARTITION BY detector, embedder, arm_text) AS repeats FROM texts",
     "report_lines": _REPORT + """SELECT concat_ws(',', embedder, arm_text, detector, printf('%.4f', auc), CASE WHEN contains(flags, ',') THEN '"' || flags || '"' ELSE flags END) AS line FROM texts""",
     "nearest_names": f"WITH {LISTED_SQL}, d AS (SELECT DISTINCT arm, levenshtein(arm, 'lsb-040')::INT AS distance FROM listed WHERE arm IS NOT NULL) SELECT * FROM d WHERE distance <= 3 OR contains(arm, 'lsb-040') OR contains('lsb-040', arm) ORDER BY distance, arm LIMIT 3",
-    "one_answer_columns": "SELECT coalesce(aletheia_error, 'none') AS \"column\", count(*) AS n, min(zsteg)::VARCHAR AS answer FROM panel GROUP BY 1 HAVING count(*) >= 2 AND count(zsteg) = count(*) AND min(zsteg) = max(zsteg)",
+    "one_answer_columns": f'WITH {LISTED_SQL} SELECT cover AS "column", count(*) AS n, min(side) AS answer FROM listed WHERE stego GROUP BY 1 HAVING count(*) >= 2 AND count(side) = count(*) AND min(side) = max(side)',
     "wilson_interval": f"""WITH {LONG_SQL}, h AS (SELECT detector, label, count(*) AS n, count(*) FILTER (WHERE score > 0.5) AS k FROM long WHERE score IS NOT NULL GROUP BY 1, 2), p AS (SELECT *, k / n AS p FROM h)
 SELECT detector, label, n, k, round(greatest(0.0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)), 9) AS low,
 round(least(1.0, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) / (1 + 3.8416 / n)), 9) AS high FROM p""",

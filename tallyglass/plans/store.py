@@ -117,11 +117,11 @@ def attribution_share(spark, folder):
 
 
 def licence_cross_check(spark, folder):
-    """Stego rows whose recorded licence differs from their cover's, by pair of canonical names."""
+    """Recorded licences of stego rows beside their cover's, by pair of canonical names, and whether they agree."""
     pairs = cut(listed(spark, folder), "listed")
     covers = pairs.filter("not stego").select(F.col("name").alias("cover"), T.canonical_licence("licence").alias("cover_licence"))
     joined = join_facts(pairs.filter("stego"), covers, "cover", "inner").withColumn("licence", T.canonical_licence("licence"))
-    return joined.filter(~F.col("licence").eqNullSafe(F.col("cover_licence"))).groupBy("licence", "cover_licence").agg(F.count("*").alias("n"))
+    return joined.groupBy("licence", "cover_licence", F.col("licence").eqNullSafe(F.col("cover_licence")).alias("agree")).agg(F.count("*").alias("n"))
 
 
 def name_functions(spark, folder):
@@ -204,8 +204,8 @@ SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY block)) AS digest F
     "attribution_share": f"""WITH {LISTED_SQL}, l AS (SELECT {_canon('licence')} AS licence FROM listed WHERE NOT stego), o AS (SELECT licence, {_OBL.format('licence')} AS o FROM l)
 SELECT count(*) AS n, count(*) FILTER (WHERE o = 'attribution') AS n_attribution, round(100.0 * count(*) FILTER (WHERE o = 'attribution') / count(*), 1) AS percent,
 max(CASE o WHEN 'uncovered' THEN 2 WHEN 'attribution' THEN 1 ELSE 0 END) AS strictest, coalesce(string_agg(DISTINCT CASE WHEN o = 'uncovered' THEN licence END, ',' ORDER BY CASE WHEN o = 'uncovered' THEN licence END), '') AS uncovered FROM o""",
-    "licence_cross_check": f"""WITH {LISTED_SQL}, l AS (SELECT *, {_canon('licence')} AS cl FROM listed) SELECT s.cl AS licence, c.cl AS cover_licence, count(*) AS n FROM l s JOIN l c ON c.name = s.cover AND NOT c.stego
-WHERE s.stego AND s.cl IS DISTINCT FROM c.cl GROUP BY 1, 2""",
+    "licence_cross_check": f"""WITH {LISTED_SQL}, l AS (SELECT *, {_canon('licence')} AS cl FROM listed) SELECT s.cl AS licence, c.cl AS cover_licence, s.cl IS NOT DISTINCT FROM c.cl AS agree, count(*) AS n FROM l s JOIN l c ON c.name = s.cover AND NOT c.stego
+WHERE s.stego GROUP BY 1, 2, 3""",
     "name_functions": r"""WITH n AS (SELECT file, regexp_extract(file, '[^/\\]*$') AS f FROM manifest), e AS (SELECT file, f, nullif(lower(regexp_extract(f, '^.+\.([^.]*)$', 1)), '') AS extension FROM n)
 SELECT extension, CASE extension WHEN 'jpg' THEN 'jpeg' WHEN 'tif' THEN 'tiff' ELSE extension END AS format, regexp_full_match(file, '[^/\\\x00-\x1f\x7f]+') AND file NOT IN ('.', '..') AS plain,
 count(*) AS n, min(regexp_replace(f, '^(.+)\.[^.]*$', '\1')) AS first_stem FROM e GROUP BY 1, 2, 3""",
