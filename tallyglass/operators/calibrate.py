@@ -321,24 +321,27 @@ def shifted_replicate(stego: np.ndarray, clean: np.ndarray, shift: float, seed,
     return float((1 + (costs[1:] <= costs[0]).sum()) / (1 + permutations))
 
 
-def critical_index(n: int, alpha: float = 0.05) -> int:
-    """0-based index of the lower critical value among ``n`` sorted null draws."""
-    k = math.floor(alpha * (1 + n)) - 1
-    if k < 0:
-        raise ValueError("too few draws for this level")
-    return k
-
+def critical_places(n: int, alpha: float = 0.05) -> tuple[int, int]:
+    """Places (from 0) of the lower and upper critical value among ``n`` sorted null draws.
 
-def upper_critical_index(n: int, alpha: float = 0.05) -> int:
-    return min(n - 1, math.ceil((1 - alpha) * (1 + n)) - 1)
+    With ``k`` draws at or below it an observation has ``p = (1 + k) / (1 + n)``. The lower place is the largest ``k`` whose p is
+    within ``alpha``, the upper one the smallest whose p is at least ``1 - alpha`` (the last draw, where none is). Refuses so few
+    draws that even the least p is beyond ``alpha``.
+    """
+    p = np.arange(1, n + 2) / (1 + n)
+    low = int(np.searchsorted(p, alpha + EPSILON, "right")) - 1
+    if low < 0:
+        raise ValueError("too few draws for this level")
+    return low, min(n - 1, int(np.searchsorted(p, 1 - alpha - EPSILON, "left")))
 
 
 def null_summary(draws: DataFrame, group: list[str], value: str, n: int, alpha: float = 0.05, extra: list[Column] | None = None) -> DataFrame:
     """Mean, median, deviation, extremes and critical values of each cell's ``n`` null draws, and ``extra`` aggregates."""
     ordered = F.array_sort(F.collect_list(value))  # ``n`` draws a cell
+    below, above = critical_places(n, alpha)
     return draws.groupBy(*group).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"),
-        F.try_element_at(ordered, F.lit(critical_index(n, alpha) + 1)).alias("crit_low"), F.try_element_at(ordered, F.lit(upper_critical_index(n, alpha) + 1)).alias("crit_high"), *(extra or []),
+        F.try_element_at(ordered, F.lit(below + 1)).alias("crit_low"), F.try_element_at(ordered, F.lit(above + 1)).alias("crit_high"), *(extra or []),
     )
 
 

@@ -79,9 +79,9 @@ def test_null_scores_have_no_value():
 
 
 def test_indices_wilson_crossing_sign_verbal(spark):
-    assert (c.critical_index(99), c.upper_critical_index(99)) == (4, 94)
+    assert c.critical_places(99) == (4, 94)
     with pytest.raises(ValueError):
-        c.critical_index(10)
+        c.critical_places(10)
     low, high = c.wilson("k", "n")
     df = spark.createDataFrame([(0, 0), (8, 10), (10, 10)], "k int, n int").select(low.alias("l"), high.alias("h")).collect()
     assert tuple(df[0]) == (0.0, 1.0) and df[1].l == pytest.approx(0.4902, abs=1e-3) and df[1].h == pytest.approx(0.9433, abs=1e-3) and df[2].h == pytest.approx(1.0)
