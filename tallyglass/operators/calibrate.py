@@ -7,6 +7,8 @@ the many independent fits spread over the cluster.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -321,6 +323,262 @@ def shifted_replicate(stego: np.ndarray, clean: np.ndarray, shift: float, seed,
     return float((1 + (costs[1:] <= costs[0]).sum()) / (1 + permutations))
 
 
+#: Coefficients of t^2, t^4, ... in ``log(2 cosh(t / 2)) - log 2``; its series alternates and falls where ``|t| < pi``.
+_EVEN = (1 / 8, -1 / 192, 1 / 2880, -17 / 645120, 31 / 14515200, -691 / 3832012800)
+#: Positions whose one-hot folds are made at a time.
+_CHUNK = 2048
+#: Most pairs whose training sides are fitted all at once.
+_FEW = 300
+
+
+def _series(power: np.ndarray, a: np.ndarray, k: int, j: int) -> np.ndarray:
+    """Sum of ``z^j`` times the ``k``-th derivative of the even part of the loss at ``a z``; ``power[i]`` are sums of ``z^i``."""
+    terms = [(c * math.perm(2 * i, k), 2 * i - k) for i, c in enumerate(_EVEN[:-1], 1) if 2 * i >= k]
+    out, square = 0.0, a * a
+    for c, n in reversed(terms):
+        out = out * square + c * power[n + j]
+    return out * a ** terms[0][1] if terms[0][1] else out
+
+
+def _settle(power: np.ndarray, total: np.ndarray, ridge: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(a, b)`` of least ``-a total / 2 +`` even part, and the mean gradient that is left."""
+    rows = power[0]
+    a = 2 * total / power[2]
+    b = -a * power[1] / rows
+    for step in range(5):
+        s = lambda k, j: _series(power, a, k, j)
+        s20, s21, s30, s31, s40, s41 = s(2, 0), s(2, 1), s(3, 0), s(3, 1), s(4, 0), s(4, 1)
+        ga = s(1, 1) - total / 2 + b * (s21 + b * (s31 / 2 + b * s41 / 6)) + ridge * a
+        gb = s(1, 0) + b * (s20 + b * (s30 / 2 + b * s40 / 6))
+        left = np.maximum(np.abs(ga), np.abs(gb)) / rows
+        if step == 4 or left.max() < 1e-11:
+            break
+        haa, hab, hbb = s(2, 2) + b * s(3, 2) + ridge, s21 + b * s31, s20 + b * s30
+        det = haa * hbb - hab * hab
+        a, b = a - (hbb * ga - hab * gb) / det, b - (haa * gb - hab * ga) / det
+    return a, b, left
+
+
+def _loss(power: np.ndarray, total: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Summed loss at ``(a, b)`` of the rows with these sums."""
+    s = lambda k: _series(power, a, k, 0)
+    return math.log(2) * power[0] - a * total / 2 + s(0) + b * (s(1) + b * (s(2) / 2 + b * (s(3) / 6 + b * s(4) / 24)))
+
+
+def _slack(a: np.ndarray, b: np.ndarray, tail: np.ndarray, largest: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """How far a cost from the series may be off: infinite beyond its radius. ``tail`` is the mean of ``z`` to the first power left out."""
+    n = 2 * len(_EVEN)
+    with np.errstate(all="ignore"):
+        out = 1e-9 + 20 * -_EVEN[-1] * (np.abs(a) * tail ** (1 / n) + np.abs(b)) ** n + np.abs(b) ** 5 / 48
+        return np.where((np.abs(a) * largest + np.abs(b) < 3) & (left < 1e-9), out, np.inf)
+
+
+@lru_cache(maxsize=1)
+def _deal(pairs: int, folds: int, seeds: int) -> np.ndarray:
+    """``(seeds, pairs)``: fold of each pair under each fold seed, the same as ``paired_costs`` has."""
+    return np.array([np.random.default_rng(s).permutation(pairs) % folds for s in range(seeds)], np.int16 if folds < 2**15 else int)
+
+
+def _fold_sums(deal: np.ndarray, folds: int, columns: Callable[[slice], np.ndarray]) -> np.ndarray:
+    """``(seeds * folds, columns)``: sums of the columns, made for some positions at a time, over the positions dealt to each fold."""
+    out = 0.0
+    for low in range(0, deal.shape[1], _CHUNK):
+        at = slice(low, low + _CHUNK)
+        into = deal[:, None, at] == np.arange(folds, dtype=deal.dtype)[:, None]
+        out = out + into.reshape(len(deal) * folds, -1).astype(float) @ columns(at)
+    return out
+
+
+def _direct_cost(pos: np.ndarray, neg: np.ndarray, deal: np.ndarray, folds: int, bound: float = BOUND) -> float:
+    """Averaged cross-validated cost of one labelling by the steps of ``Logistic``, all training sides at once; NaN if one does not settle."""
+    keep = (deal[:, None, :] != np.arange(folds)[:, None]).reshape(-1, len(pos)).astype(float)
+    n, top, ridge = 2 * keep.sum(1), math.log(bound), 1e-6
+    mean = keep @ (pos + neg) / n
+    scale = np.sqrt((keep * ((pos - mean[:, None]) ** 2 + (neg - mean[:, None]) ** 2)).sum(1) / n)
+    if not (scale > 1e-9 * max(np.abs(pos).max(), np.abs(neg).max())).all():
+        return math.nan
+    up, down = (pos - mean[:, None]) / scale[:, None], (neg - mean[:, None]) / scale[:, None]
+    a, b, live = np.zeros(len(n)), np.zeros(len(n)), np.arange(len(n))
+    rate = lambda z: 1 / (1 + np.exp(-np.clip(a[live, None] * z + b[live, None], -700, 700)))
+    for _ in range(101):
+        u, d, k = up[live], down[live], keep[live]
+        p, q = rate(u), rate(d)
+        ga, gb = (k * ((p - 1) * u + q * d)).sum(1) + ridge * a[live], (k * (p - 1 + q)).sum(1)
+        open_ = np.maximum(np.abs(ga), np.abs(gb)) / n[live] >= 1e-10
+        if not open_.any():
+            break
+        v, w = k * (p * (1 - p) + 1e-12), k * (q * (1 - q) + 1e-12)
+        haa, hab, hbb = (v * u * u + w * d * d).sum(1) + ridge, (v * u + w * d).sum(1), (v + w).sum(1)
+        det = haa * hbb - hab * hab
+        da, db = (hbb * ga - hab * gb) / det, (haa * gb - hab * ga) / det
+        much = np.maximum(1.0, np.maximum(np.abs(da), np.abs(db)) / 5)
+        a[live] -= np.where(open_, da / much, 0)
+        b[live] -= np.where(open_, db / much, 0)
+        live = live[open_]
+    else:
+        return math.nan
+    side = np.arange(len(deal))[:, None] * folds + deal
+    ka, kb = a[side] / scale[side], b[side] - a[side] * mean[side] / scale[side]
+    up, down = np.clip(ka * pos + kb, -top, top), np.clip(ka * neg + kb, -top, top)
+    return float((np.log1p(np.exp(-up)).mean() + np.log1p(np.exp(down)).mean()) / (2 * math.log(2)))
+
+
+def _most_cost(pos: np.ndarray, neg: np.ndarray, deal: np.ndarray, folds: int, bound: float = BOUND) -> float:
+    """A bound from above on the averaged cross-validated cost of one labelling, from its fit to all rows; infinite if there is none.
+
+    The loss is self-concordant: how far a training side's fit lies from that fit, ``far`` at most at any row, follows from its
+    gradient there. Cutting at ``bound`` adds at most the cost of a row at the bound.
+    """
+    m, ridge = len(pos), 1e-6
+    try:
+        fit = Logistic(bound).fit(np.concatenate([pos, neg]), np.repeat([True, False], m))
+    except ValueError:
+        return math.inf
+    a = fit.a / fit.scale
+    b = fit.b - a * fit.mean
+    up, down = a * pos + b, a * neg + b
+    p, q = (1 / (1 + np.exp(-np.clip(t, -700, 700))) for t in (up, down))
+    v, w = p * (1 - p), q * (1 - q)
+    columns = np.stack([(p - 1) * pos + q * neg, p - 1 + q, v * pos * pos + w * neg * neg, v * pos + w * neg, v + w, np.ones(m)], 1)
+    held = _fold_sums(deal, folds, lambda at: columns[at]).T
+    ga, gb, haa, hab, hbb, _ = columns.sum(0)[:, None] - held
+    ga, haa = ga + ridge * a, haa + ridge
+    with np.errstate(all="ignore"):
+        norm = lambda x, y: np.sqrt((hbb * x * x - 2 * hab * x * y + haa * y * y) / (haa * hbb - hab * hab))
+        end = max(np.abs(pos).max(), np.abs(neg).max())
+        reach = np.maximum(norm(end, 1.0), norm(-end, 1.0))
+        far = -np.log1p(-reach * norm(ga, gb))
+        more = (norm(held[0], held[1]) * far / reach + held[5] * far**2 / 4).sum() / len(deal)
+    most = (np.logaddexp(0, -up).sum() + np.logaddexp(0, down).sum() + more) / (2 * m * math.log(2)) + bound_cost(bound) + 1e-9
+    return most if np.isfinite(most) else math.inf
+
+
+def rejections(stego: np.ndarray, clean: np.ndarray, shifts: list[float], seeds_of: list, permutations: int = 100, folds: int = FOLDS, seeds: int = 20, flip_seed: int = 0, alpha: float = 0.05) -> list[bool]:
+    """Whether ``shifted_replicate`` is within ``alpha``, for replicates (a shift and a seed each) with the same stream of flips.
+
+    Swapping a pair's labels leaves the even part of its loss as it is and turns the sign of the rest, which is linear: the
+    loss of a labelling is ``-a D / 2`` with its own ``D`` (the sum of signed differences) plus what all labellings share. So
+    sums of powers by fold, made once a replicate, give every labelling's fits and costs from its ``D`` by fold. A cross-validated
+    cost is never below the least cost on all rows, which falls as ``|D|`` grows: draws whose least cost is above the observed
+    cost need no folds, the others are taken in the order of that cost until the number at or below the observed one is
+    settled. Every comparison has a bound on the error of both sides; what is within it, or beyond the series, is
+    decided by the costs of ``paired_costs``, as ``shifted_replicate`` does.
+    """
+    m, bound = len(stego), math.log(BOUND)
+    scale = np.concatenate([stego, clean]).std() or 1.0
+    most = int((np.arange(1, permutations + 2) / (1 + permutations) <= alpha).sum()) - 1  # draws at or below that still reject
+    flips = pair_flips(m, permutations, flip_seed)
+    moved, kept, zs, zc = [], [], [], []
+    for x, seed in zip(shifts, seeds_of, strict=True):
+        at = np.random.default_rng(seed).integers(0, m, m)
+        moved.append(stego[at] + x * scale)
+        kept.append(clean[at])
+        both = np.concatenate([moved[-1], kept[-1]]).astype(float)
+        if not np.isfinite(both).all():
+            raise ValueError("a score is not finite")
+        z = (both - both.mean()) / (both.std() or 1.0)
+        zs.append(z[:m])
+        zc.append(z[m:])
+    if m < folds:
+        raise ValueError("fewer groups than folds")
+    zs, zc = np.stack(zs, 1), np.stack(zc, 1)
+    jobs, degree = len(shifts), 2 * len(_EVEN) - 2
+    difference, same = zs - zc, (zs.std(0) + zc.std(0) + np.abs(zs - zc).max(0)) == 0
+    total = np.zeros((permutations + 1, jobs))
+    for low in range(0, m, _CHUNK):
+        total[1:] += (1.0 - 2.0 * flips[:, low : low + _CHUNK]) @ difference[low : low + _CHUNK]
+    total[0] = difference.sum(0)
+    deal = _deal(m, folds, seeds)
+
+    def powers(at: slice) -> np.ndarray:
+        s, c = zs[at], zc[at]
+        columns, ps, pc = [difference[at], difference[at] ** 2], 1.0, 1.0
+        for _ in range(degree):
+            ps, pc = ps * s, pc * c
+            columns.append(ps + pc)
+        return np.concatenate(columns, 1)
+
+    sums = _fold_sums(deal, folds, powers).reshape(-1, degree + 2, jobs).transpose(1, 0, 2)
+    tail = sum(((z * z * z) ** 4).mean(0) / 2 for z in (zs, zc))
+    largest = np.maximum(np.abs(zs).max(0), np.abs(zc).max(0))
+    size = np.broadcast_to(2.0 * np.array([np.bincount(d, minlength=folds) for d in deal]).reshape(-1, 1), sums.shape[1:])
+    first, squares, held = sums[0], sums[1], np.concatenate([size[None], sums[2:]])
+    whole = held[:, :folds].sum(1)
+    train = whole[:, None] - held
+
+    def costs(of: np.ndarray, part: np.ndarray, all_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Averaged cross-validated costs of labellings of the jobs ``of``, and how far they may be off."""
+        a, b, left = _settle(train[:, :, of], all_ - part)
+        cost = _loss(held[:, :, of], part, a, b).sum(0) / (seeds * 2 * m * math.log(2))
+        return cost, _slack(np.abs(a).max(0), np.abs(b).max(0), tail[of], largest[of], left.max(0))
+
+    with np.errstate(all="ignore"):
+        seen, off = costs(np.arange(jobs), first, total[0])
+        a, b, left = _settle(np.repeat(whole[:, None], permutations, 1), total[1:])
+        least = _loss(np.repeat(whole[:, None], permutations, 1), total[1:], a, b) / (2 * m * math.log(2))
+        least = least - _slack(a, b, tail, largest, left)
+        # the cost cuts a held-out row's loss at the bound; no fit of a draw reaches it where this holds: on the way from 0 to a
+        # fit the linear part gains at least what the even part loses, which up to the bound is at least a quadratic
+        spread, n = train[2] - train[1] ** 2 / train[0], train[0]
+        reach = (np.abs(total[1:]) + np.sqrt(size / 2 * squares).max(0)) / spread.min(0)
+        far = largest + (np.abs(train[1]) / n).max(0)
+        least = np.where(reach * (far + np.sqrt(far**2 + (spread / n).max(0))) / 2 < math.tanh(bound / 2), least, -np.inf)
+
+    exact = [{} for _ in range(jobs)]
+
+    def exactly(r: int, d: int) -> float:
+        """The averaged cost of draw ``d`` (0 is the true labelling), as ``shifted_replicate`` takes it."""
+        if d not in exact[r]:
+            flip = np.zeros((1, m), bool) if d == 0 else flips[d - 1 : d]
+            exact[r][d] = float(paired_costs(moved[r], kept[r], flip, seeds, folds).mean(1).round(12)[0])
+        return exact[r][d]
+
+    def anew(r: int, d: int) -> tuple[float, float]:
+        """The cost of a draw that the series does not give, and how far it may be off."""
+        if m <= _FEW and not same[r]:
+            swap = flips[d - 1] if d else np.zeros(m, bool)
+            c = _direct_cost(np.where(swap, zc[:, r], zs[:, r]), np.where(swap, zs[:, r], zc[:, r]), deal, folds)
+            if np.isfinite(c):
+                return c, 1e-6
+        return exactly(r, d), 2e-8
+
+    def below(r: int, d: int, c: float, e: float) -> bool:
+        """Whether the draw costs no more than the true labelling."""
+        for again in (False, True):
+            if again or not (np.isfinite(c) and np.isfinite(e)):
+                c, e = anew(r, d)
+            if again and off[r] > 1e-6:
+                seen[r], off[r] = anew(r, 0)
+            if abs(c - seen[r]) > e + off[r]:
+                return c < seen[r]
+        return exactly(r, d) <= exactly(r, 0)
+
+    order, at_most, answers, step = [], np.zeros(jobs, int), [None] * jobs, most + 3
+    for r in range(jobs):
+        if same[r] or not np.isfinite(seen[r]) or not np.isfinite(off[r]):
+            if (~(least[:, r] > _most_cost(zs[:, r], zc[:, r], deal, folds))).sum() <= most:
+                order.append([])  # the others cost more, whatever the observed cost is
+                continue
+            seen[r], off[r] = anew(r, 0)
+        open_ = np.flatnonzero(~(least[:, r] > seen[r] + off[r]))
+        order.append(list(open_[np.argsort(-np.abs(total[1 + open_, r]), kind="stable")]))
+    while True:
+        for r in range(jobs):
+            if answers[r] is None and (at_most[r] > most or at_most[r] + len(order[r]) <= most):
+                answers[r] = bool(at_most[r] <= most)
+        pick = [(r, d) for r in range(jobs) if answers[r] is None for d in order[r][:step]]
+        if not pick:
+            return answers
+        of, draws = np.array([p[0] for p in pick]), np.array([p[1] for p in pick])
+        part = _fold_sums(deal, folds, lambda at: (1.0 - 2.0 * flips[draws, at].T) * difference[at][:, of])
+        with np.errstate(all="ignore"):
+            cost, slack = costs(of, part, total[1 + draws, of])
+        for r, d, c, e in zip(of, draws, cost, slack, strict=True):
+            order[r].remove(d)
+            at_most[r] += below(r, d + 1, c, e)
+        step = 16
+
+
 def critical_places(n: int, alpha: float = 0.05) -> tuple[int, int]:
     """Places (from 0) of the lower and upper critical value among ``n`` sorted null draws.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import Window as W
@@ -173,19 +174,24 @@ def mde_summary(spark, folder):
 
 
 def _replicates(grid, draws, seeds, pdf, jobs):
-    """One bootstrap replicate for each job, a place in the grid of shifts and numbers; null where there are too few pairs."""
+    """One bootstrap replicate for each job, a place in the grid of numbers and shifts; null where there are too few pairs."""
     pdf = pdf.sort_values("cover", kind="stable")
     if len(pdf) < calibrate.FOLDS:
-        return [{"x": None, "p": None} for _ in jobs]
+        return [{"x": None, "rejects": None} for _ in jobs]
     stego, clean = pdf["stego"].to_numpy(), pdf["clean"].to_numpy()
-    return [{"x": x, "p": calibrate.shifted_replicate(stego, clean, x, (0, rep, round(x * 1e6)), draws, seeds=seeds, flip_seed=rep)} for x, rep in (grid[j] for j in jobs)]
+    done = []
+    for rep, some in groupby((grid[j] for j in jobs), key=lambda job: job[0]):  # the shifts of a number share its flips
+        shifts = [x for _, x in some]
+        rejects = calibrate.rejections(stego, clean, shifts, [(0, rep, round(x * 1e6)) for x in shifts], draws, seeds=seeds, flip_seed=rep)
+        done += [{"x": x, "rejects": r} for x, r in zip(shifts, rejects, strict=True)]
+    return done
 
 
 def _power_curve(spark, folder):
     """``arm, detector, x, hits, n, power``: share of the replicates that reject at each shift."""
-    grid = [(x, rep) for x in SHIFTS for rep in range(REPLICATES)]
-    done = calibrate.fan_out_blocks(_pairs(spark, folder), ["arm", "detector"], len(grid), REPLICATE_BLOCK, partial(_replicates, grid, POWER_DRAWS, FOLD_SEEDS), "x double, p double")
-    curve = done.filter("x is not null").groupBy("arm", "detector", "x").agg(F.count("*").alias("n"), F.count_if(F.col("p") <= 0.05).alias("hits"))
+    grid = [(rep, x) for rep in range(REPLICATES) for x in SHIFTS]
+    done = calibrate.fan_out_blocks(_pairs(spark, folder), ["arm", "detector"], len(grid), REPLICATE_BLOCK, partial(_replicates, grid, POWER_DRAWS, FOLD_SEEDS), "x double, rejects boolean")
+    curve = done.filter("x is not null").groupBy("arm", "detector", "x").agg(F.count("*").alias("n"), F.count_if("rejects").alias("hits"))
     return cut(curve.withColumn("power", F.col("hits") / F.col("n")), "power")
 
 
